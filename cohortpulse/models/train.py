@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from cohortpulse.schemas import (
     modelling_columns,
 )
 from cohortpulse.session import shared_folder
-from cohortpulse.sources.sinks import write_features
+from cohortpulse.sources.sinks import write_and_read
 
 LABEL = "distinction"
 GROUP = "pres_groups"
@@ -79,8 +78,7 @@ def stage(df: DataFrame) -> DataFrame:
     Every boosting round reads its input; a written table makes that cheap,
     survives lost executors, and lets a group's model read its group only.
     """
-    path = f"{shared_folder(df.sparkSession)}/features-{uuid.uuid4().hex}"
-    return df.sparkSession.read.schema(df.schema).parquet(write_features(df, path, GROUP))
+    return write_and_read(df, "features", GROUP)
 
 
 def fit(

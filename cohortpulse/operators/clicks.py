@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortpulse.schemas import ENROLMENT_KEYS, click_column
 
 MATCHED = "_matched"
+HASHED = "_hashed"
 NULL_TYPES = "_null_types"
 BITS = 63
 
@@ -160,11 +161,30 @@ def with_default_columns(
     return df.withColumns({c: F.lit(default).cast(kind) for c in columns})
 
 
+def left_join_totals(
+    info: DataFrame, totals: DataFrame, keys: Sequence[str], unique_info: bool = True
+) -> DataFrame:
+    """Left join one row per key onto enrolments.
+
+    Aggregated totals are already partitioned by the keys, so only the
+    enrolments move. That is right as long as the keys are the primary key they
+    are declared to be. If they may repeat (``unique_info`` false), a key can be
+    hot: a hash of the keys as one more join key makes Spark exchange both
+    sides, and adaptive execution splits only partitions it has exchanged.
+    """
+    on = list(keys)
+    if unique_info:
+        return info.join(totals, on, "left")
+    mark = {HASHED: F.xxhash64(*on)}
+    return info.withColumns(mark).join(totals.withColumns(mark), [*on, HASHED], "left").drop(HASHED)
+
+
 def attach_totals(
     info: DataFrame,
     totals: DataFrame,
     keys: Sequence[str] = ENROLMENT_KEYS,
     defaults: Sequence[str] | None = None,
+    unique_info: bool = True,
 ) -> DataFrame:
     """Left join per-enrolment values; 0 without a match, as-is with one.
 
@@ -174,12 +194,11 @@ def attach_totals(
     """
     values = [c for c in totals.columns if c not in keys]
     zero = set(values if defaults is None else defaults)
-    joined = info.join(totals.withColumn(MATCHED, F.lit(True)), list(keys), "left")
-    quoted = {c: F.col(f"`{c}`") for c in values}
+    joined = left_join_totals(info, totals.withColumn(MATCHED, F.lit(True)), keys, unique_info)
     return joined.withColumns(
         {
-            c: F.when(F.col(MATCHED).isNotNull(), q).otherwise(F.lit(0).cast("long"))
-            for c, q in quoted.items()
+            c: F.when(F.col(MATCHED).isNotNull(), F.col(f"`{c}`")).otherwise(F.lit(0).cast("long"))
+            for c in values
             if c in zero
         }
     ).drop(MATCHED)

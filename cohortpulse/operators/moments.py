@@ -12,6 +12,7 @@ from cohortpulse.functions.moments import moments_of_sums, power_sum_aggregates
 from cohortpulse.operators.clicks import (
     attach_totals,
     finish_type_totals,
+    left_join_totals,
     type_total_aggregates,
     with_activity_type,
 )
@@ -56,10 +57,13 @@ def click_moments(
 
 
 def attach_moments(
-    info: DataFrame, moments: DataFrame, keys: Sequence[str] = ENROLMENT_KEYS
+    info: DataFrame,
+    moments: DataFrame,
+    keys: Sequence[str] = ENROLMENT_KEYS,
+    unique_info: bool = True,
 ) -> DataFrame:
     """Left join moments onto enrolments; null without clicks."""
-    return info.join(moments.select(*keys, *MOMENT_COLUMNS), list(keys), "left")
+    return left_join_totals(info, moments.select(*keys, *MOMENT_COLUMNS), keys, unique_info)
 
 
 def engagement_totals(
@@ -93,7 +97,8 @@ def attach_engagement(
     totals: DataFrame,
     vocabulary: Sequence[str],
     keys: Sequence[str] = ENROLMENT_KEYS,
+    unique_info: bool = True,
 ) -> DataFrame:
     """Enrolments with fused totals: clicks default to 0, moments to null."""
     defaults = ["total_clicks", *[click_column(t) for t in vocabulary]]
-    return attach_totals(info, totals, keys, defaults)
+    return attach_totals(info, totals, keys, defaults, unique_info)

@@ -30,14 +30,15 @@ def orphans(
 
     Rows with a null key part are not checked. The child is reduced to one row
     per key value before the join, so neither a hot key nor the row count of
-    the fact table reaches it.
+    the fact table reaches it; the parent is reduced likewise, within the same
+    shuffle.
     """
     names = list(parent_columns or columns)
     values = child.select(*columns)
     for c in columns:
         values = values.where(F.col(c).isNotNull())
     counted = values.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows"))
-    known = parent.select(*[F.col(p).alias(c) for p, c in zip(names, columns)])
+    known = parent.select(*[F.col(p).alias(c) for p, c in zip(names, columns)]).distinct()
     return counted.join(known, list(columns), "left_anti")
 
 

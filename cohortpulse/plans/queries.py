@@ -1,4 +1,8 @@
-"""Registered queries over the supplied tables."""
+"""Registered queries over the supplied tables.
+
+Enrolments bound to orders may repeat their key, hence ``unique_info=False``
+wherever they are joined before the first attempts are chosen.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +45,7 @@ from cohortpulse.schemas import (
 )
 from cohortpulse.session import shared_folder
 from cohortpulse.sources.readers import read_base_csv
-from cohortpulse.sources.sinks import write_features
+from cohortpulse.sources.sinks import write_and_read, write_features
 from cohortpulse.sources.stand_ins import StandIns
 
 NUMBER = "enrolment_no"
@@ -116,7 +120,7 @@ def feature_sink(t: StandIns) -> DataFrame:
     """Features written by group and read back."""
     path = f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
     wide = C.attach_totals(
-        H.with_presentation_group(t.student_info), C.total_clicks(t.student_vle)
+        H.with_presentation_group(t.student_info), C.total_clicks(t.student_vle), unique_info=False
     ).select(NUMBER, "total_clicks", "pres_groups")
     written = t.spark.read.schema(wide.schema).parquet(write_features(wide, path))
     return written.groupBy("pres_groups").agg(
@@ -248,20 +252,20 @@ def click_activity(t: StandIns) -> DataFrame:
 @query
 def clicks_total(t: StandIns) -> DataFrame:
     info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
-    return C.attach_totals(info, C.total_clicks(t.student_vle))
+    return C.attach_totals(info, C.total_clicks(t.student_vle), unique_info=False)
 
 
 @query
 def clicks_one_type(t: StandIns) -> DataFrame:
     info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
-    return C.attach_totals(info, C.clicks_of_type(t.student_vle, t.vle, "forumng"))
+    return C.attach_totals(info, C.clicks_of_type(t.student_vle, t.vle, "forumng"), unique_info=False)
 
 
 @query
 def clicks_by_type_pivot(t: StandIns) -> DataFrame:
     info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
     vocabulary = C.activity_vocabulary(t.vle)
-    return C.attach_totals(info, C.clicks_by_type(t.student_vle, t.vle, vocabulary))
+    return C.attach_totals(info, C.clicks_by_type(t.student_vle, t.vle, vocabulary), unique_info=False)
 
 
 # --- Moments ------------------------------------------------------------------
@@ -286,7 +290,8 @@ def moments_wide_sums(t: StandIns) -> DataFrame:
 @query
 def moments_joined(t: StandIns) -> DataFrame:
     info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
-    return _rounded(M.attach_moments(info, M.click_moments(t.student_vle)), *MOMENT_COLUMNS)
+    moments = M.click_moments(t.student_vle)
+    return _rounded(M.attach_moments(info, moments, unique_info=False), *MOMENT_COLUMNS)
 
 
 @query
@@ -294,7 +299,8 @@ def engagement_features(t: StandIns) -> DataFrame:
     """Totals, totals per type and moments from one scan of the clickstream."""
     info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
     totals = M.engagement_totals(t.student_vle, t.vle, ACTIVITY_TYPES)
-    return _rounded(M.attach_engagement(info, totals, ACTIVITY_TYPES), *MOMENT_COLUMNS)
+    joined = M.attach_engagement(info, totals, ACTIVITY_TYPES, unique_info=False)
+    return _rounded(joined, *MOMENT_COLUMNS)
 
 
 # --- Modelling frame ----------------------------------------------------------
@@ -337,9 +343,12 @@ def _scored(t: StandIns) -> DataFrame:
 
 @query
 def profile_numeric(t: StandIns) -> DataFrame:
-    info = C.attach_totals(t.student_info, C.total_clicks(t.student_vle))
+    """Profile of the enriched enrolments, written once as it is read repeatedly."""
+    totals = C.total_clicks(t.student_vle)
     scores = R.average_scores(t.student_assessment, t.assessments)
-    profile = P.profile_numeric(info.join(scores, ENROLMENT_KEYS, "left"), PROFILED)
+    info = C.attach_totals(t.student_info, totals, unique_info=False)
+    wide = C.left_join_totals(info, scores, ENROLMENT_KEYS, unique_info=False).select(*PROFILED)
+    profile = P.profile_numeric(write_and_read(wide, "profiled"), PROFILED)
     return _rounded(profile, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
+from cohortpulse.session import shared_folder
+
 
 def write_features(df: DataFrame, path: str, partition_by: str = "pres_groups") -> str:
     """Parquet table partitioned by presentation group.
@@ -14,3 +18,18 @@ def write_features(df: DataFrame, path: str, partition_by: str = "pres_groups")
     rebalanced = df.hint("rebalance", partition_by)
     rebalanced.write.mode("overwrite").partitionBy(partition_by).parquet(path)
     return path
+
+
+def write_and_read(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Materialise an intermediate in the shared folder.
+
+    For a table that several jobs read: it is computed once, and it outlives
+    the executors that made it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if partition_by:
+        write_features(df, path, partition_by)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
