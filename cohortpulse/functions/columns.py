@@ -45,14 +45,26 @@ def student_and_module(student: str = "id_student", module: str = "code_module")
     return joined_key(student, module, separator="")
 
 
-def lookup(key: str | Column, mapping: Mapping[str, int]) -> Column:
+def identifier(name: str) -> str:
+    """Column name for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str | int) -> str:
+    """Constant for use in SQL text."""
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup(key: str, mapping: Mapping[str, int | str]) -> Column:
     """Constant map lookup inside the projection; null for an unknown key.
 
-    The map is a literal of fixed size, so there is neither a join nor anything
-    to broadcast that could grow.
+    ``key`` is SQL text. The map is a literal of fixed size, so there is neither
+    a join nor anything to broadcast that could grow.
     """
-    entries = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.create_map(*entries)[_col(key)]
+    entries = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in mapping.items())
+    return F.expr(f"map({entries})[{key}]")
 
 
 def presentation_group(
@@ -60,15 +72,15 @@ def presentation_group(
 ) -> Column:
     """Group number 0..12 of a module run; null where the run is not listed."""
     flat = {f"{m}-{p}": g for m, runs in PRESENTATION_GROUPS.items() for p, g in runs.items()}
-    return lookup(module_pres(module, presentation), flat)
+    return lookup(f"concat({identifier(module)}, '-', {identifier(presentation)})", flat)
 
 
-def deprivation_decile(band: str | Column = "imd_band") -> Column:
-    return lookup(band, DEPRIVATION_DECILES)
+def deprivation_decile(band: str = "imd_band") -> Column:
+    return lookup(identifier(band), DEPRIVATION_DECILES)
 
 
-def degree_flag(education: str | Column = "highest_education") -> Column:
-    return lookup(education, DEGREE_FLAGS)
+def degree_flag(education: str = "highest_education") -> Column:
+    return lookup(identifier(education), DEGREE_FLAGS)
 
 
 def distinction_label(result: str | Column = "final_result") -> Column:

@@ -10,91 +10,99 @@ overflow for large groups, and sums of wide decimals leave the fast aggregation
 path; the parts stay longs, and none can overflow below 2**42 rows per group.
 A single row whose ``c * d**4`` exceeds a long raises under ANSI mode; for such
 data ``wide`` sums decimals instead.
+
+After the aggregation a group whose sums are small enough for longs, which its
+largest day bounds, is finished in longs, any other in wide decimals.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortpulse.functions.columns import identifier
+
 PART_BITS = 21
 PARTS = 3
 HIGHEST = 4
 EXACT = "decimal(38,0)"
 
 WEIGHT = "_w"
+LARGEST = "_far"
 
 
 def _sum_name(power: int, part: int | None = None) -> str:
     return f"_s{power}" if part is None else f"_s{power}_{part}"
 
 
-def _split(value: Column) -> list[Column]:
-    """Low, middle and (signed) high part of a long."""
-    mask = F.lit((1 << PART_BITS) - 1).cast("long")
-    parts = [
-        F.shiftright(value, PART_BITS * i).bitwiseAND(mask) for i in range(PARTS - 1)
-    ]
-    return [*parts, F.shiftright(value, PART_BITS * (PARTS - 1))]
-
-
 def power_sum_aggregates(day: str, weight: str, wide: bool = False) -> list[Column]:
-    """Aggregates for ``groupBy``; read them back with :func:`exact_sums`."""
-    d, c = F.col(day).cast("long"), F.col(weight).cast("long")
-    dated = F.when(d.isNotNull(), c)
-    aggregates = [
-        F.sum(c).alias(WEIGHT),
-        F.sum(dated).alias(_sum_name(0)),
-        F.sum(c * d).alias(_sum_name(1)),
-    ]
-    if wide:
-        exact = F.col(day).cast(EXACT)
-        term = F.col(weight).cast(EXACT) * exact
-        for power in range(2, HIGHEST + 1):
-            term = term * exact
-            aggregates.append(F.sum(term).alias(_sum_name(power)))
-        return aggregates
-    term = c * d
+    """Aggregates for ``groupBy``; :func:`moments_of_sums` reads them back."""
+    as_type = EXACT if wide else "bigint"
+    d = f"cast({identifier(day)} as {as_type})"
+    c = f"cast({identifier(weight)} as {as_type})"
+    sums = {
+        WEIGHT: c,
+        _sum_name(0): f"if({d} is null, null, {c})",
+        _sum_name(1): f"{c} * {d}",
+    }
     for power in range(2, HIGHEST + 1):
-        term = term * d
-        aggregates += [F.sum(p).alias(_sum_name(power, i)) for i, p in enumerate(_split(term))]
-    return aggregates
+        term = " * ".join([c, *[d] * power])
+        if wide:
+            sums[_sum_name(power)] = term
+            continue
+        for part in range(PARTS):
+            shifted = f"shiftright({term}, {PART_BITS * part})" if part else f"({term})"
+            low = f" & {(1 << PART_BITS) - 1}L" if part < PARTS - 1 else ""
+            sums[_sum_name(power, part)] = shifted + low
+    aggregates = [F.expr(f"sum({text}) as {name}") for name, text in sums.items()]
+    return [*aggregates, F.expr(f"max(abs({d})) as {LARGEST}")]
 
 
 def power_sum_columns(wide: bool = False) -> list[str]:
     """Names of the columns the aggregates make."""
-    names = [WEIGHT, _sum_name(0), _sum_name(1)]
+    names = [WEIGHT, LARGEST, _sum_name(0), _sum_name(1)]
     for power in range(2, HIGHEST + 1):
         names += [_sum_name(power)] if wide else [_sum_name(power, i) for i in range(PARTS)]
     return names
 
 
-def exact_sums(wide: bool = False) -> list[Column]:
-    """``S_0..S_4`` as wide decimals, over the columns of the aggregates."""
-    sums = [F.col(_sum_name(0)).cast(EXACT), F.col(_sum_name(1)).cast(EXACT)]
+def _sums_as(kind: str, wide: bool) -> list[str]:
+    """``S_0..S_4`` in one numeric type; absent sums count as 0."""
+
+    def read(name: str) -> str:
+        return f"cast({name} as {kind})"
+
+    sums = [read(_sum_name(0)), read(_sum_name(1))]
     for power in range(2, HIGHEST + 1):
         if wide:
-            sums.append(F.col(_sum_name(power)))
+            sums.append(read(_sum_name(power)))
             continue
-        total = F.lit(0).cast(EXACT)
-        for i in reversed(range(PARTS)):
-            step = F.lit(1 << PART_BITS).cast("decimal(10,0)")
-            total = (total * step).cast(EXACT) + F.col(_sum_name(power, i)).cast("decimal(20,0)")
-        sums.append(total.cast(EXACT))
-    return sums
+        parts = [
+            f"{read(_sum_name(power, i))} * cast({1 << (PART_BITS * i)} as {_scale_type(kind)})"
+            for i in range(PARTS)
+        ]
+        sums.append(" + ".join(reversed(parts)))
+    return [f"coalesce({s}, cast(0 as {kind}))" for s in sums]
 
 
-def translate(sums: list[Column], origin: Column) -> list[Column]:
-    """Exact power sums of ``d - origin`` from those of ``d``.
+def _scale_type(kind: str) -> str:
+    return kind if kind == "bigint" else "decimal(14,0)"
 
-    Multiplying by ``(d - origin)`` turns the pair (S_j, S_j-1) into
-    S_j - origin * S_j-1; doing so j times shifts S_j completely.
-    """
-    shifted = list(sums)
-    for lowest in range(1, len(shifted)):
-        for power in range(len(shifted) - 1, lowest - 1, -1):
-            shifted[power] = (shifted[power] - origin * shifted[power - 1]).cast(EXACT)
-    return shifted
+
+def _translated(sums: list[str], origin: str) -> list[str]:
+    """Power sums of ``d - origin``, by the binomial theorem."""
+    out = []
+    for power in range(len(sums)):
+        terms = []
+        for k in range(power + 1):
+            factors = [sums[power - k], *[origin] * k]
+            if k and comb(power, k) != 1:
+                factors.append(str(comb(power, k)))
+            terms.append(("- " if k % 2 else "+ ") + " * ".join(factors))
+        out.append("(" + " ".join(terms).removeprefix("+ ") + ")")
+    return out
 
 
 def moments_of_sums(totals: DataFrame, wide: bool = False) -> DataFrame:
@@ -110,56 +118,62 @@ def moments_of_sums(totals: DataFrame, wide: bool = False) -> DataFrame:
 
     Clicks without a day weigh in the divisor only, as a skip-null sum does.
     """
-    powers = range(HIGHEST + 1)
-    zero = F.lit(0).cast(EXACT)
-    used = power_sum_columns(wide)
-    exact = totals.withColumns(
-        {f"_e{p}": F.coalesce(s, zero) for p, s in zip(powers, exact_sums(wide))}
-        | {"_m": F.coalesce(F.rint(_dbl(_sum_name(1)) / _non_zero(_dbl(_sum_name(0)))), F.lit(0.0)).cast("decimal(19,0)")}
+    scratch = power_sum_columns(wide)
+    keep = [identifier(c) for c in totals.columns if c not in scratch]
+
+    # No term of a translation exceeds 16 W far**4, none of the spread 8 W**2 far**2.
+    fits = (
+        f"16D * abs(double({WEIGHT})) * pow(double({LARGEST}), 4) < 9e18D and "
+        f"8D * pow(double({WEIGHT}), 2) * greatest(pow(double({LARGEST}), 2), 1D) < 9e18D"
     )
-    shifted = translate([F.col(f"_e{p}") for p in powers], F.col("_m"))
-    centred = exact.withColumns(
-        {f"_t{p}": s for p, s in zip(powers, shifted)}
-        | {"_off": F.col("_e1") - F.col("_m") * F.col(WEIGHT).cast("decimal(20,0)")}
+    centred = totals.selectExpr(
+        "*",
+        f"nullif(double({WEIGHT}), 0D) as _wd",
+        f"coalesce(rint({_sum_name(1)} / nullif(double({_sum_name(0)}), 0D)), 0D) as _m",
+        "false as _fits" if wide else f"coalesce({fits}, false) as _fits",
     )
 
-    weight, off = F.col("_wd"), F.col("_shift")
-    t = [_dbl(f"_t{p}") for p in powers]
-    spread = F.col(WEIGHT).cast(EXACT) * F.col("_t2") - F.col("_t1") * F.col("_t1")
-    all_dated = F.col(WEIGHT).cast(EXACT) == F.col("_e0")
-    variance = F.when(all_dated, spread.cast("double") / (weight * weight)).otherwise(
-        (t[2] - 2 * off * t[1] + off * off * t[0]) / weight
-    )
-    third = (t[3] - 3 * off * t[2] + 3 * off * off * t[1] - off * off * off * t[0]) / weight
-    fourth = (
-        t[4] - 4 * off * t[3] + 6 * off * off * t[2] - 4 * off * off * off * t[1]
-        + off * off * off * off * t[0]
-    ) / weight
-
-    v, root, mean = _non_zero(F.col("_variance")), F.col("_root"), _non_zero(F.col("_mean"))
-    scratch = [f"_{x}{p}" for x in "et" for p in powers]
+    finished: dict[str, tuple[str, str]] = {}
+    narrow = _finishing("bigint", "cast(_m as bigint)", wide)
+    exact = _finishing(EXACT, "cast(_m as decimal(19,0))", wide)
+    for name in exact:
+        finished[name] = (narrow[name], exact[name])
+    columns = [
+        f"if(_fits, double({small}), double({large})) as {name}" if not wide else f"double({large}) as {name}"
+        for name, (small, large) in finished.items()
+    ]
+    shifted = centred.selectExpr(*keep, "_wd", "_m", *columns)
+
+    undated = "(_t2 - 2 * _off * _t1 + _off * _off * _t0) / _wd"
     return (
-        centred.withColumn("_wd", _non_zero(_dbl(WEIGHT)))
-        .withColumn("_shift", _dbl("_off") / F.col("_wd"))
-        .withColumns({"_variance": variance, "_mean": _dbl("_e1") / weight, "_third": third, "_fourth": fourth})
-        .withColumn("_root", F.when(F.col("_variance") > 0, F.sqrt("_variance")))
-        .withColumns(
-            {
-                "click_time_variance": F.col("_variance"),
-                "click_time_skewness": F.col("_third") / (v * root),
-                "click_time_kurtosis": F.col("_fourth") / (v * v) - 3,
-                "click_time_cv": root / mean,
-            }
+        shifted.selectExpr("*", "_shift / _wd as _off", "_mean_sum / _wd as _mean")
+        .selectExpr(
+            "*",
+            f"if(_undated = 0, _spread / (_wd * _wd), {undated}) as _var",
+            "(_t3 - 3 * _off * _t2 + 3 * _off * _off * _t1 - _off * _off * _off * _t0) / _wd as _third",
+            "(_t4 - 4 * _off * _t3 + 6 * _off * _off * _t2 - 4 * _off * _off * _off * _t1"
+            " + _off * _off * _off * _off * _t0) / _wd as _fourth",
+        )
+        .selectExpr("*", "nullif(_var, 0D) as _v", "if(_var > 0, sqrt(_var), null) as _root")
+        .selectExpr(
+            *keep,
+            "_var as click_time_variance",
+            "_third / (_v * _root) as click_time_skewness",
+            "_fourth / (_v * _v) - 3 as click_time_kurtosis",
+            "_root / nullif(_mean, 0D) as click_time_cv",
         )
-        .drop(*used, *scratch, "_m", "_off", "_wd", "_shift", "_mean", "_root")
-        .drop("_variance", "_third", "_fourth")
     )
 
 
-def _dbl(name: str) -> Column:
-    return F.col(name).cast("double")
-
-
-def _non_zero(value: Column) -> Column:
-    """The value, or null where it is zero: a divisor that never raises."""
-    return F.when(value != 0, value)
+def _finishing(kind: str, origin: str, wide: bool) -> dict[str, str]:
+    """Integer results per group in one numeric type, as SQL text."""
+    sums = _sums_as(kind, wide)
+    weight = f"cast({WEIGHT} as {kind})"
+    t = _translated(sums, origin)
+    return {
+        **{f"_t{p}": t[p] for p in range(HIGHEST + 1)},
+        "_spread": f"{weight} * {t[2]} - {t[1]} * {t[1]}",
+        "_shift": f"{sums[1]} - {origin} * {weight}",
+        "_mean_sum": sums[1],
+        "_undated": f"{weight} - {sums[0]}",
+    }

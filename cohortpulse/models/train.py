@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortpulse.functions.columns import clean_name
+from cohortpulse.functions.columns import clean_name, identifier
 from cohortpulse.models.evaluate import THRESHOLD, classification_report, predicted
 from cohortpulse.models.split import train_test_split
 from cohortpulse.operators.cohort import in_group
@@ -67,8 +67,13 @@ def prepare(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]
     """Fill missing values; returns the frame and the widened input columns."""
     columns = list(columns)
     flagged = [c for c in columns if c in MAY_BE_MISSING]
-    plain = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns if c not in flagged}
-    filled = fill_missing(df.withColumns(plain), flagged)
+    chosen = [
+        f"coalesce(double({identifier(c)}), 0D) as {identifier(c)}"
+        if c in columns and c not in flagged
+        else identifier(c)
+        for c in df.columns
+    ]
+    filled = fill_missing(df.selectExpr(*chosen), flagged)
     return filled, [*columns, *[c + MISSING_SUFFIX for c in flagged]]
 
 

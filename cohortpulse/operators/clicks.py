@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortpulse.functions.columns import identifier, literal
 from cohortpulse.schemas import ENROLMENT_KEYS, click_column
 
 MATCHED = "_matched"
@@ -111,32 +112,34 @@ def type_total_aggregates(
     null becomes null. Bit masks of the types seen with a null count tell the
     two apart with one long per 63 types instead of a counter per type.
     """
-    kind, value = F.col(activity), F.col(weight)
-    sums = [F.sum(F.when(kind == t, value)).alias(click_column(t)) for t in vocabulary]
+    kind, value = identifier(activity), identifier(weight)
+    sums = [
+        F.expr(f"sum(case when {kind} = {literal(t)} then {value} end) as {identifier(click_column(t))}")
+        for t in vocabulary
+    ]
     masks = []
     for block in range(0, len(vocabulary), BITS):
-        bit = F.coalesce(
-            *[
-                F.when(kind == t, F.lit(1 << i).cast("long"))
-                for i, t in enumerate(vocabulary[block : block + BITS])
-            ],
-            F.lit(None).cast("long"),
+        bits = " ".join(
+            f"when {literal(t)} then {1 << i}L" for i, t in enumerate(vocabulary[block : block + BITS])
         )
-        masks.append(F.bit_or(F.when(value.isNull(), bit)).alias(f"{NULL_TYPES}{block // BITS}"))
+        seen = f"case when {value} is null then case {kind} {bits} end end"
+        masks.append(F.expr(f"bit_or({seen}) as {NULL_TYPES}{block // BITS}"))
     return sums + masks
 
 
 def finish_type_totals(df: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     """Resolve untouched types to 0 and drop the masks."""
-    resolved = {}
-    for i, t in enumerate(vocabulary):
-        mask = F.coalesce(F.col(f"{NULL_TYPES}{i // BITS}"), F.lit(0).cast("long"))
-        all_null = mask.bitwiseAND(F.lit(1 << (i % BITS)).cast("long")) != 0
-        name = click_column(t)
-        quoted = F.col(f"`{name}`")
-        resolved[name] = F.when(quoted.isNotNull(), quoted).when(~all_null, F.lit(0).cast("long"))
-    masks = [c for c in df.columns if c.startswith(NULL_TYPES)]
-    return df.withColumns(resolved).drop(*masks)
+    totals = {click_column(t): i for i, t in enumerate(vocabulary)}
+    chosen = []
+    for name in df.columns:
+        total = identifier(name)
+        if name in totals:
+            i = totals[name]
+            all_null = f"coalesce({NULL_TYPES}{i // BITS}, 0L) & {1 << (i % BITS)}L"
+            total = f"case when {total} is not null then {total} when {all_null} = 0 then 0L end as {total}"
+        if not name.startswith(NULL_TYPES):
+            chosen.append(total)
+    return df.selectExpr(*chosen)
 
 
 def clicks_by_type(
@@ -195,10 +198,11 @@ def attach_totals(
     values = [c for c in totals.columns if c not in keys]
     zero = set(values if defaults is None else defaults)
     joined = left_join_totals(info, totals.withColumn(MATCHED, F.lit(True)), keys, unique_info)
-    return joined.withColumns(
-        {
-            c: F.when(F.col(MATCHED).isNotNull(), F.col(f"`{c}`")).otherwise(F.lit(0).cast("long"))
-            for c in values
-            if c in zero
-        }
-    ).drop(MATCHED)
+    chosen = []
+    for c in joined.columns:
+        value = identifier(c)
+        if c in zero:
+            value = f"case when {MATCHED} is not null then {value} else 0L end as {value}"
+        if c != MATCHED:
+            chosen.append(value)
+    return joined.selectExpr(*chosen)

@@ -7,16 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortpulse.functions.columns import clean_name
+from cohortpulse.functions.columns import clean_name, identifier, literal
 from cohortpulse.schemas import CATEGORIES, dummy_column, modelling_columns
 
 MISSING_SUFFIX = "_missing"
 
 
-def _quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 def observed_categories(
     df: DataFrame, columns: Sequence[str], limit: int = 1000
 ) -> dict[str, list[str]]:
@@ -50,15 +46,13 @@ def one_hot(
     keep_source: bool = False,
 ) -> DataFrame:
     """0/1 column per category; null or an unlisted value sets none of them."""
-    dummies = {
-        dummy_column(source, value): F.coalesce(
-            (F.col(source) == value).cast("int"), F.lit(0)
-        )
+    dummies = [
+        f"coalesce(int({identifier(source)} = {literal(value)}), 0) as {identifier(dummy_column(source, value))}"
         for source, values in categories.items()
         for value in sorted(values)
-    }
-    encoded = df.withColumns(dummies)
-    return encoded if keep_source else encoded.drop(*categories)
+    ]
+    kept = [identifier(c) for c in df.columns if keep_source or c not in categories]
+    return df.selectExpr(*kept, *dummies)
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -73,20 +67,20 @@ def modelling_frame(
     ``keep`` carries identifier columns along, in front.
     """
     chosen = list(columns or modelling_columns())
-    return clean_columns(df.select(*keep, *[_quoted(c) for c in chosen]))
+    return clean_columns(df.select(*keep, *[identifier(c) for c in chosen]))
 
 
 def _has_non_zero(name: str) -> Column:
     """Whether a column holds anything but 0; a null counts as something."""
-    value = _quoted(name).cast("double")
-    return F.coalesce(F.max(F.when(value.isNull() | (value != 0), 1).otherwise(0)), F.lit(0))
+    value = f"double({identifier(name)})"
+    return F.expr(f"coalesce(max(if({value} is null or {value} <> 0, 1, 0)), 0) as {identifier(name)}")
 
 
 def non_zero_flags(
     df: DataFrame, columns: Sequence[str], group: str | None = None
 ) -> DataFrame:
     """1 per column that is not entirely 0, for all groups in one pass."""
-    flags = [_has_non_zero(c).alias(c) for c in columns]
+    flags = [_has_non_zero(c) for c in columns]
     return df.groupBy(group).agg(*flags) if group else df.agg(*flags)
 
 
@@ -106,10 +100,13 @@ def fill_missing(df: DataFrame, columns: Sequence[str], fill: float = 0.0) -> Da
     Spark's trees accept no missing values; the indicator keeps the fact that
     one was missing available to the splits.
     """
-    out = {}
-    for c in columns:
-        value = _quoted(c).cast("double")
-        absent = value.isNull() | F.isnan(value)
-        out[c] = F.when(absent, F.lit(fill)).otherwise(value)
-        out[c + MISSING_SUFFIX] = absent.cast("int")
-    return df.withColumns(out)
+    chosen = []
+    for c in df.columns:
+        name = identifier(c)
+        if c not in columns:
+            chosen.append(name)
+            continue
+        value = f"nullif(double({name}), double('NaN'))"
+        chosen.append(f"coalesce({value}, {float(fill)!r}D) as {name}")
+        chosen.append(f"int({value} is null) as {identifier(c + MISSING_SUFFIX)}")
+    return df.selectExpr(*chosen)

@@ -84,11 +84,9 @@ def degree_share_totals(
     complete = F.count("top_share") == F.count(F.lit(1))
     top = counted.agg(F.when(complete, percentage(F.avg("top_share"))).alias("top_percent"))
     overall = df.agg(percentage(F.avg(flag)).alias("overall_percent"))
-    # Two one-row aggregates side by side, paired on a constant.
-    one = F.lit(1).alias("_one")
-    return (
-        top.select("*", one).join(overall.select("*", one), "_one").drop("_one")
-    )
+    # Two one-row results side by side, without a join.
+    both = top.unionByName(overall, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("top_percent", "overall_percent")])
 
 
 def average_scores(

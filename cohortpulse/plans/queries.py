@@ -98,7 +98,7 @@ def table_shapes(t: StandIns) -> DataFrame:
 
 @query
 def default_columns(t: StandIns) -> DataFrame:
-    return C.with_default_columns(t.student_info.select(NUMBER), ["total_clicks", *CLICKS[:5]])
+    return C.with_default_columns(t.enrolments.select(NUMBER), ["total_clicks", *CLICKS[:5]])
 
 
 @query
@@ -120,7 +120,7 @@ def feature_sink(t: StandIns) -> DataFrame:
     """Features written by group and read back."""
     path = f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
     wide = C.attach_totals(
-        H.with_presentation_group(t.student_info), C.total_clicks(t.student_vle), unique_info=False
+        H.with_presentation_group(t.enrolments), C.total_clicks(t.student_vle), unique_info=False
     ).select(NUMBER, "total_clicks", "pres_groups")
     written = t.spark.read.schema(wide.schema).parquet(write_features(wide, path))
     return written.groupBy("pres_groups").agg(
@@ -133,7 +133,7 @@ def feature_sink(t: StandIns) -> DataFrame:
 
 @query
 def pk_violations(t: StandIns) -> DataFrame:
-    return Q.key_violations(t.student_info, ENROLMENT_KEYS)
+    return Q.key_violations(t.enrolments, ENROLMENT_KEYS)
 
 
 @query
@@ -141,7 +141,7 @@ def fk_orphans(t: StandIns) -> DataFrame:
     """Scores whose student and assessment run match no enrolment."""
     run = t.assessments.select("id_assessment", "code_module", "code_presentation")
     scores = t.student_assessment.join(run, "id_assessment")
-    return Q.orphans(scores, t.student_info, ENROLMENT_KEYS)
+    return Q.orphans(scores, t.enrolments, ENROLMENT_KEYS)
 
 
 @query
@@ -163,14 +163,14 @@ def overlong_customers(t: StandIns) -> DataFrame:
 
 @query
 def enrol_keys(t: StandIns) -> DataFrame:
-    return H.with_enrolment_keys(t.student_info).select(
+    return H.with_enrolment_keys(t.enrolments).select(
         NUMBER, "student_module_pres", "module_pres", "student_and_module"
     )
 
 
 @query
 def presentation_groups(t: StandIns) -> DataFrame:
-    return H.with_presentation_group(t.student_info).select(NUMBER, "pres_groups")
+    return H.with_presentation_group(t.enrolments).select(NUMBER, "pres_groups")
 
 
 @query
@@ -209,7 +209,7 @@ def first_attempts(t: StandIns) -> DataFrame:
 
 @query
 def one_group(t: StandIns) -> DataFrame:
-    return H.in_group(H.with_presentation_group(t.student_info), 3).select(NUMBER, "pres_groups")
+    return H.in_group(H.with_presentation_group(t.enrolments), 3).select(NUMBER, "pres_groups")
 
 
 @query
@@ -251,19 +251,19 @@ def click_activity(t: StandIns) -> DataFrame:
 
 @query
 def clicks_total(t: StandIns) -> DataFrame:
-    info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
+    info = t.enrolments
     return C.attach_totals(info, C.total_clicks(t.student_vle), unique_info=False)
 
 
 @query
 def clicks_one_type(t: StandIns) -> DataFrame:
-    info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
+    info = t.enrolments
     return C.attach_totals(info, C.clicks_of_type(t.student_vle, t.vle, "forumng"), unique_info=False)
 
 
 @query
 def clicks_by_type_pivot(t: StandIns) -> DataFrame:
-    info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
+    info = t.enrolments
     vocabulary = C.activity_vocabulary(t.vle)
     return C.attach_totals(info, C.clicks_by_type(t.student_vle, t.vle, vocabulary), unique_info=False)
 
@@ -289,7 +289,7 @@ def moments_wide_sums(t: StandIns) -> DataFrame:
 
 @query
 def moments_joined(t: StandIns) -> DataFrame:
-    info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
+    info = t.enrolments
     moments = M.click_moments(t.student_vle)
     return _rounded(M.attach_moments(info, moments, unique_info=False), *MOMENT_COLUMNS)
 
@@ -297,7 +297,7 @@ def moments_joined(t: StandIns) -> DataFrame:
 @query
 def engagement_features(t: StandIns) -> DataFrame:
     """Totals, totals per type and moments from one scan of the clickstream."""
-    info = t.student_info.select(NUMBER, *ENROLMENT_KEYS)
+    info = t.enrolments
     totals = M.engagement_totals(t.student_vle, t.vle, ACTIVITY_TYPES)
     joined = M.attach_engagement(info, totals, ACTIVITY_TYPES, unique_info=False)
     return _rounded(joined, *MOMENT_COLUMNS)
@@ -328,7 +328,7 @@ def missing_indicators(t: StandIns) -> DataFrame:
 
 @query
 def hash_split(t: StandIns) -> DataFrame:
-    return t.student_info.select(NUMBER, in_test().cast("int").alias("in_test"))
+    return t.enrolments.select(NUMBER, in_test().cast("int").alias("in_test"))
 
 
 # --- Profile and ranking ------------------------------------------------------

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortpulse.functions.columns import literal, lookup
 from cohortpulse.schemas import ACTIVITY_TYPES, CATEGORIES
 from cohortpulse.sources.readers import read_parquet
 
@@ -26,9 +27,9 @@ EDUCATION_OF_SEGMENT = dict(
 )
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    """Entry of a constant list at a zero-based index."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+def _pick(values: list[str], index: str) -> Column:
+    """Entry of a constant list at a zero-based index, given as SQL text."""
+    return F.expr(f"array({', '.join(map(literal, values))})[int({index})]")
 
 
 def _module(number: Column) -> Column:
@@ -63,6 +64,13 @@ class StandIns:
             }
         )
 
+    @property
+    def enrolments(self) -> DataFrame:
+        """Enrolment keys alone, for jobs that need no demographics."""
+        return self._orders().select(
+            F.col("o_orderkey").alias("enrolment_no"), "id_student", "code_module", "code_presentation"
+        )
+
     @property
     def courses(self) -> DataFrame:
         return (
@@ -95,13 +103,11 @@ class StandIns:
                     F.concat((decile * 10).cast("string"), F.lit("-"), (decile * 10 + 10).cast("string"), F.lit("%"))
                 )
                 .alias("imd_band"),
-                F.create_map(*[F.lit(x) for pair in EDUCATION_OF_SEGMENT.items() for x in pair])[
-                    F.col("c_mktsegment")
-                ].alias("highest_education"),
-                _pick(CATEGORIES["age_band"], F.floor(nation / 10)).alias("age_band"),
+                lookup("c_mktsegment", EDUCATION_OF_SEGMENT).alias("highest_education"),
+                _pick(CATEGORIES["age_band"], "c_nationkey div 10").alias("age_band"),
                 F.when(month.isin(5, 6, 11, 12), 1).otherwise(0).alias("number_of_prev_attempts"),
                 (F.substring("o_orderpriority", 1, 1).cast("int") * 30).alias("studied_credits"),
-                _pick(CATEGORIES["region"], nation % 13).alias("region"),
+                _pick(CATEGORIES["region"], "c_nationkey % 13").alias("region"),
                 F.when(balance < 0, "Y").otherwise("N").alias("disability"),
                 F.when(F.col("o_orderstatus") == "F", "Distinction")
                 .when(F.col("o_orderstatus") == "O", "Pass")
@@ -115,7 +121,7 @@ class StandIns:
         size = F.col("p_size")
         return self._read("part").select(
             F.col("p_partkey").alias("id_site"),
-            F.when(size < 50, _pick(ACTIVITY_TYPES, size % 20)).alias("activity_type"),
+            F.when(size < 50, _pick(ACTIVITY_TYPES, "p_size % 20")).alias("activity_type"),
         )
 
     @property

@@ -90,14 +90,12 @@ def test_more_types_than_one_mask_holds(spark):
             assert r[C.click_column(t)] == expected, (r.id_student, t)
 
 
-def test_type_with_odd_characters(spark):
-    vle = spark.createDataFrame([(1, "a.b c`d")], "id_site int, activity_type string")
-    clicks = spark.createDataFrame([(1, 10, "AAA", "2013J", 0, 5)], CLICKS)
-    with pytest.raises(Exception):
-        # A back-tick cannot be quoted; everything else can.
-        C.clicks_by_type(clicks, vle, ["a.b c`d"]).collect()
-    vle = vle.replace("a.b c`d", "a.b c")
-    assert C.clicks_by_type(clicks, vle, ["a.b c"]).first()["total_clicks_a.b c"] == 5
+@pytest.mark.parametrize("odd", ["a.b c", "back`tick", "it's", 'say "x"', "back\\slash", "100%", ""])
+def test_type_with_odd_characters(spark, odd):
+    vle = spark.createDataFrame([(1, odd), (2, "quiz")], "id_site int, activity_type string")
+    clicks = spark.createDataFrame([(1, 10, "AAA", "2013J", 0, 5), (2, 10, "AAA", "2013J", 0, 1)], CLICKS)
+    got = C.clicks_by_type(clicks, vle, [odd, "quiz"]).first()
+    assert got[C.click_column(odd)] == 5 and got["total_clicks_quiz"] == 1
 
 
 def test_totals_per_type_add_up(spark):
