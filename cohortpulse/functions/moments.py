@@ -75,34 +75,46 @@ def _sums_as(kind: str, wide: bool) -> list[str]:
         return f"cast({name} as {kind})"
 
     sums = [read(_sum_name(0)), read(_sum_name(1))]
+    scale = "bigint" if kind == "bigint" else "decimal(14,0)"
     for power in range(2, HIGHEST + 1):
         if wide:
             sums.append(read(_sum_name(power)))
             continue
         parts = [
-            f"{read(_sum_name(power, i))} * cast({1 << (PART_BITS * i)} as {_scale_type(kind)})"
-            for i in range(PARTS)
+            f"{read(_sum_name(power, i))} * cast({1 << (PART_BITS * i)} as {scale})" if i
+            else read(_sum_name(power, i))
+            for i in reversed(range(PARTS))
         ]
-        sums.append(" + ".join(reversed(parts)))
+        sums.append(" + ".join(parts))
     return [f"coalesce({s}, cast(0 as {kind}))" for s in sums]
 
 
-def _scale_type(kind: str) -> str:
-    return kind if kind == "bigint" else "decimal(14,0)"
+def _binomial_terms(sums: list[str], power: int, origin: str) -> list[tuple[str, str]]:
+    """(sum, coefficient) pairs that add up to the power sum of ``d - origin``."""
+    pairs = []
+    for k in range(power + 1):
+        sign = "-" if k % 2 else ""
+        pairs.append((sums[power - k], " * ".join([f"{sign}{comb(power, k)}", *[origin] * k])))
+    return pairs
 
 
-def _translated(sums: list[str], origin: str) -> list[str]:
-    """Power sums of ``d - origin``, by the binomial theorem."""
-    out = []
-    for power in range(len(sums)):
-        terms = []
-        for k in range(power + 1):
-            factors = [sums[power - k], *[origin] * k]
-            if k and comb(power, k) != 1:
-                factors.append(str(comb(power, k)))
-            terms.append(("- " if k % 2 else "+ ") + " * ".join(factors))
-        out.append("(" + " ".join(terms).removeprefix("+ ") + ")")
-    return out
+def _translated(power: int, wide: bool) -> str:
+    """Power sum of ``d - _m`` in longs."""
+    pairs = _binomial_terms(_sums_as("bigint", wide), power, "bigint(_m)")
+    return " + ".join(f"{s} * ({b})" for s, b in pairs)
+
+
+def _translated_exactly(power: int, wide: bool) -> str:
+    """The same in wide decimals, as a dot product of arrays.
+
+    Arrays keep the generated code small: it sits beside the usual branch in
+    long arithmetic, and a method too long for the JIT would slow down both.
+    """
+    pairs = _binomial_terms(_sums_as(EXACT, wide), power, "cast(_m as decimal(19,0))")
+    sums = ", ".join(f"cast({s} as {EXACT})" for s, _ in pairs)
+    coefficients = ", ".join(f"cast({b} as {EXACT})" for _, b in pairs)
+    products = f"zip_with(array({sums}), array({coefficients}), (s, b) -> s * b)"
+    return f"aggregate({products}, cast(0 as {EXACT}), (total, x) -> total + x)"
 
 
 def moments_of_sums(totals: DataFrame, wide: bool = False) -> DataFrame:
@@ -121,35 +133,42 @@ def moments_of_sums(totals: DataFrame, wide: bool = False) -> DataFrame:
     scratch = power_sum_columns(wide)
     keep = [identifier(c) for c in totals.columns if c not in scratch]
 
-    # No term of a translation exceeds 16 W far**4, none of the spread 8 W**2 far**2.
+    # No sum of terms of a translation exceeds 16 W far**4, and no part of the
+    # spread 8 W**2 far**2.
     fits = (
-        f"16D * abs(double({WEIGHT})) * pow(double({LARGEST}), 4) < 9e18D and "
-        f"8D * pow(double({WEIGHT}), 2) * greatest(pow(double({LARGEST}), 2), 1D) < 9e18D"
+        f"16D * double({WEIGHT}) * pow(double({LARGEST}), 4) < 9e18D and "
+        f"8D * pow(double({WEIGHT}), 2) * greatest(pow(double({LARGEST}), 2), 1D) < 9e18D and {WEIGHT} >= 0"
     )
     centred = totals.selectExpr(
         "*",
-        f"nullif(double({WEIGHT}), 0D) as _wd",
         f"coalesce(rint({_sum_name(1)} / nullif(double({_sum_name(0)}), 0D)), 0D) as _m",
         "false as _fits" if wide else f"coalesce({fits}, false) as _fits",
     )
 
-    finished: dict[str, tuple[str, str]] = {}
-    narrow = _finishing("bigint", "cast(_m as bigint)", wide)
-    exact = _finishing(EXACT, "cast(_m as decimal(19,0))", wide)
-    for name in exact:
-        finished[name] = (narrow[name], exact[name])
-    columns = [
-        f"if(_fits, double({small}), double({large})) as {name}" if not wide else f"double({large}) as {name}"
-        for name, (small, large) in finished.items()
-    ]
-    shifted = centred.selectExpr(*keep, "_wd", "_m", *columns)
-
-    undated = "(_t2 - 2 * _off * _t1 + _off * _off * _t0) / _wd"
+    def chosen(power: int) -> str:
+        exact = f"double({_translated_exactly(power, wide)})"
+        return exact if wide else f"if(_fits, double({_translated(power, wide)}), {exact})"
+
+    # Where everything fits, the spread W T_2 - T_1**2 is exact too, and the
+    # variance is rounded only once.
+    t1, t2 = _translated(1, wide), _translated(2, wide)
+    spread = f"if(_fits, double({WEIGHT} * ({t2}) - ({t1}) * ({t1})), null)"
+    shifted = centred.selectExpr(
+        *keep,
+        "_m",
+        f"nullif(double({WEIGHT}), 0D) as _wd",
+        f"double(coalesce({_sum_name(1)}, 0)) as _mean_sum",
+        f"double(coalesce({_sum_name(0)}, 0)) as _t0",
+        f"double({WEIGHT} - coalesce({_sum_name(0)}, 0)) as _undated",
+        *[f"{chosen(p)} as _t{p}" for p in range(1, HIGHEST + 1)],
+        "cast(null as double) as _spread" if wide else f"{spread} as _spread",
+    )
     return (
-        shifted.selectExpr("*", "_shift / _wd as _off", "_mean_sum / _wd as _mean")
+        shifted.selectExpr("*", "(_t1 - _m * _undated) / _wd as _off", "_mean_sum / _wd as _mean")
         .selectExpr(
             "*",
-            f"if(_undated = 0, _spread / (_wd * _wd), {undated}) as _var",
+            "if(_undated = 0, coalesce(_spread, _wd * _t2 - _t1 * _t1) / (_wd * _wd),"
+            " (_t2 - 2 * _off * _t1 + _off * _off * _t0) / _wd) as _var",
             "(_t3 - 3 * _off * _t2 + 3 * _off * _off * _t1 - _off * _off * _off * _t0) / _wd as _third",
             "(_t4 - 4 * _off * _t3 + 6 * _off * _off * _t2 - 4 * _off * _off * _off * _t1"
             " + _off * _off * _off * _off * _t0) / _wd as _fourth",
@@ -163,17 +182,3 @@ def moments_of_sums(totals: DataFrame, wide: bool = False) -> DataFrame:
             "_root / nullif(_mean, 0D) as click_time_cv",
         )
     )
-
-
-def _finishing(kind: str, origin: str, wide: bool) -> dict[str, str]:
-    """Integer results per group in one numeric type, as SQL text."""
-    sums = _sums_as(kind, wide)
-    weight = f"cast({WEIGHT} as {kind})"
-    t = _translated(sums, origin)
-    return {
-        **{f"_t{p}": t[p] for p in range(HIGHEST + 1)},
-        "_spread": f"{weight} * {t[2]} - {t[1]} * {t[1]}",
-        "_shift": f"{sums[1]} - {origin} * {weight}",
-        "_mean_sum": sums[1],
-        "_undated": f"{weight} - {sums[0]}",
-    }
