@@ -155,23 +155,28 @@ CTES = {
 
 
 def _moment_ctes(source: str, keys: str) -> dict[str, str]:
-    """Moments from integer power sums: n_j are exact multiples of the central sums."""
-    sums = ", ".join(
-        f"sum({'*'.join(['sum_click::HUGEINT', *['click_date'] * j])})::HUGEINT AS s{j}" for j in range(5)
-    )
+    """Moments by their definition: weighted mean first, then weighted deviations.
+
+    The variance takes integer sums, W S2 - S1**2 over W**2: its values are large
+    enough for the last digit of a double to show after rounding.
+    """
     return {
-        "sums": f"SELECT {keys}, {sums} FROM {source} GROUP BY {keys}",
-        "central": """
-            SELECT *, s0*s2 - s1*s1 AS n2, s0*s0*s3 - 3*s0*s1*s2 + 2*s1*s1*s1 AS n3,
-                   s0*s0*s0*s4 - 4*s0*s0*s1*s3 + 6*s0*s1*s1*s2 - 3*s1*s1*s1*s1 AS n4
-            FROM sums""",
+        "means": f"""
+            SELECT {keys}, sum(sum_click)::HUGEINT AS w, sum(sum_click::HUGEINT * click_date)::HUGEINT AS s1,
+                   sum(sum_click::HUGEINT * click_date * click_date)::HUGEINT AS s2,
+                   sum(sum_click::HUGEINT * click_date)::DOUBLE / nullif(sum(sum_click), 0) AS mu
+            FROM {source} GROUP BY {keys}""",
+        "deviations": f"""
+            SELECT {keys}, any_value(mu) AS mu, any_value(w)::DOUBLE AS w,
+                   any_value(w * s2 - s1 * s1)::DOUBLE AS spread,
+                   sum(sum_click * pow(click_date - mu, 3)) AS d3, sum(sum_click * pow(click_date - mu, 4)) AS d4
+            FROM {source} JOIN means USING ({keys}) GROUP BY {keys}""",
         "moments": f"""
-            SELECT {keys},
-                   n2::DOUBLE / nullif(s0::DOUBLE * s0::DOUBLE, 0) AS click_time_variance,
-                   CASE WHEN n2 > 0 THEN n3::DOUBLE / pow(n2::DOUBLE, 1.5) END AS click_time_skewness,
-                   CASE WHEN n2 > 0 THEN n4::DOUBLE / (n2::DOUBLE * n2::DOUBLE) - 3 END AS click_time_kurtosis,
-                   CASE WHEN n2 > 0 AND s1 <> 0 THEN sqrt(n2::DOUBLE) / s1::DOUBLE END AS click_time_cv
-            FROM central""",
+            SELECT {keys}, v AS click_time_variance,
+                   d3 / w / pow(nullif(v, 0), 1.5) AS click_time_skewness,
+                   d4 / w / (nullif(v, 0) * v) - 3 AS click_time_kurtosis,
+                   sqrt(nullif(v, 0)) / nullif(mu, 0) AS click_time_cv
+            FROM (SELECT *, spread / nullif(w * w, 0) AS v FROM deviations)""",
     }
 
 
@@ -439,7 +444,7 @@ def build() -> dict[str, str]:
         "moments_wide_sums": _with(
             ["user_clicks"],
             f"SELECT event_type, {ROUNDED_MOMENTS} FROM moments",
-            _two_pass_ctes("user_clicks", "event_type"),
+            _moment_ctes("user_clicks", "event_type"),
         ),
         "moments_joined": _with(
             ["info", "clicks"],
@@ -499,17 +504,3 @@ def build() -> dict[str, str]:
         ),
         "class_report": _with(["ruled"], REPORT, {"classes": CLASSES}),
     }
-
-
-def _two_pass_ctes(source: str, keys: str) -> dict[str, str]:
-    """Moments by their definition: weighted mean first, then weighted deviations."""
-    return {
-        "means": f"SELECT {keys}, sum(sum_click)::DOUBLE AS w, sum(sum_click * click_date::BIGINT)::DOUBLE "
-        f"/ nullif(sum(sum_click), 0) AS mu FROM {source} GROUP BY {keys}",
-        "deviations": f"SELECT {keys}, any_value(mu) AS mu, "
-        + ", ".join(f"sum(sum_click * pow(click_date - mu, {j})) / any_value(w) AS m{j}" for j in (2, 3, 4))
-        + f" FROM {source} JOIN means USING ({keys}) GROUP BY {keys}",
-        "moments": f"SELECT {keys}, m2 AS click_time_variance, m3 / pow(nullif(m2, 0), 1.5) AS click_time_skewness, "
-        "m4 / (nullif(m2, 0) * m2) - 3 AS click_time_kurtosis, sqrt(nullif(m2, 0)) / nullif(mu, 0) AS click_time_cv "
-        "FROM deviations",
-    }

@@ -147,3 +147,22 @@ def test_hot_site_is_split_when_the_lookup_cannot_be_broadcast(spark, setting):
     summed = typed.groupBy("activity_type").agg(F.sum("id_student").alias("s"))
     assert "skew=true" in executed_plan(summed)
     assert rows(summed) == [("quiz", 120_000 * 119_999 // 2)]
+
+
+def test_repeated_enrolment_key_is_split(spark, setting):
+    setting(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="4000",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="8000",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__shuffle__partitions="16",
+    )
+    info = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("row")
+    )
+    clicks = spark.range(0, 5_000, 1, 4).select((F.col("id") % 400).alias("k"), F.lit(2).alias("sum_click"))
+    totals = C.total_clicks(clicks, ["k"])
+    split = C.attach_totals(info, totals, ["k"], unique_info=False)
+    assert "skew=true" in executed_plan(split)
+    assert split.columns == ["k", "row", "total_clicks"]
+    assert rows(split, "row") == rows(C.attach_totals(info, totals, ["k"]), "row")
