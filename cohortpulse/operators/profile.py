@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from math import inf, nextafter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,38 +50,104 @@ def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def _brackets(spark, targets: list[dict]) -> DataFrame:
-    """Open targets as a table; its size is columns times probabilities."""
-    schema = "column_name string, p double, rank long, lo double, hi double"
-    rows = [(t["column"], t["p"], t["rank"], t["lo"], t["hi"]) for t in targets]
-    return F.broadcast(spark.createDataFrame(rows, schema))
+@dataclass
+class _Target:
+    """A value sought by its rank, and the range it is known to lie in."""
+
+    column: str
+    rank: int
+    inside: int
+    below: int = 0
+    lo: float = -inf
+    hi: float = inf
+    counted: bool = True
+
+    @property
+    def range(self) -> tuple[str, float, float]:
+        return self.column, self.lo, self.hi
+
+    def shrink(self, at_lo: int, at_hi: int, grid: list[float]) -> None:
+        """Tighten the range, given counts of its ends and its quantile grid."""
+        place = self.rank - self.below
+        if place < at_lo:
+            self.hi, self.inside = self.lo, at_lo
+        elif place >= self.inside - at_hi:
+            self.below += self.inside - at_hi
+            self.lo, self.inside = self.hi, at_hi
+        else:
+            # Neither end is the value, so both can go, with all their copies.
+            self.lo, self.hi = nextafter(self.lo, inf), nextafter(self.hi, -inf)
+            cell = int(place / ((self.inside - 1) / GRID))
+            if cell > 1:
+                self.lo = max(self.lo, grid[cell - 1])
+            if cell + 2 < GRID:
+                self.hi = min(self.hi, grid[cell + 2])
+            self.counted = False
+
+
+def _beside_ranges(values: DataFrame, targets: list[_Target]) -> DataFrame:
+    """Values beside each range of their column.
+
+    The range table is bounded by columns times probabilities, whatever the
+    data, and is broadcast.
+    """
+    ranges = values.sparkSession.createDataFrame(
+        sorted({t.range for t in targets}), "column_name string, lo double, hi double"
+    )
+    return values.join(F.broadcast(ranges), "column_name")
 
 
-def _narrow(values: DataFrame, targets: list[dict]) -> None:
-    """One pass over the values that tightens every bracket in place."""
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
+def _narrow(values: DataFrame, targets: list[_Target], finish_rows: int) -> None:
+    """One pass over the values: count the ranges, and tighten the long ones."""
+    value = F.col("value")
+    inside = value.between(F.col("lo"), F.col("hi"))
     grid = [i / GRID for i in range(GRID + 1)]
     found = (
-        values.join(_brackets(values.sparkSession, targets), "column_name")
-        .groupBy("column_name", "p")
+        _beside_ranges(values, targets)
+        .groupBy("column_name", "lo", "hi")
         .agg(
-            F.count_if(F.col("value") < F.col("lo")).alias("below"),
+            F.count_if(value < F.col("lo")).alias("below"),
             F.count_if(inside).alias("inside"),
-            F.percentile_approx(F.when(inside, F.col("value")), grid, ACCURACY).alias("grid"),
+            F.count_if(value == F.col("lo")).alias("at_lo"),
+            F.count_if(value == F.col("hi")).alias("at_hi"),
+            F.percentile_approx(F.when(inside, value), grid, ACCURACY).alias("grid"),
         )
         .collect()
     )
-    by_target = {(r["column_name"], r["p"]): r for r in found}
+    by_range = {(r["column_name"], r["lo"], r["hi"]): r for r in found}
     for t in targets:
-        r = by_target[t["column"], t["p"]]
-        t["inside"] = r["inside"]
-        if r["inside"] <= 2:
-            continue
-        step = (r["inside"] - 1) / GRID
-        first = (t["rank"] - r["below"]) / step
-        last = (t["rank"] + 1 - r["below"]) / step
-        t["lo"] = r["grid"][max(0, int(first) - 1)] if first >= 1 else t["lo"]
-        t["hi"] = r["grid"][min(GRID, int(last) + 2)] if last + 2 <= GRID else t["hi"]
+        r = by_range[t.range]
+        t.below, t.inside, t.counted = r["below"], r["inside"], True
+        if t.inside > finish_rows and t.lo < t.hi:
+            t.shrink(r["at_lo"], r["at_hi"], r["grid"])
+
+
+def _ranked_values(values: DataFrame, targets: list[_Target], finish_rows: int) -> DataFrame:
+    """The value at every target's rank."""
+
+    def unfinished() -> list[_Target]:
+        return [t for t in targets if not t.counted or (t.inside > finish_rows and t.lo < t.hi)]
+
+    while unfinished():
+        _narrow(values, unfinished(), finish_rows)
+    tallied = (
+        _beside_ranges(values, targets)
+        .where(F.col("value").between(F.col("lo"), F.col("hi")))
+        .groupBy("column_name", "lo", "hi", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    order = Window.partitionBy("column_name", "lo", "hi").orderBy("value")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    places = values.sparkSession.createDataFrame(
+        [(*t.range, t.rank, t.rank - t.below) for t in targets],
+        "column_name string, lo double, hi double, rank long, place long",
+    )
+    return (
+        tallied.withColumn("upto", upto)
+        .join(F.broadcast(places), ["column_name", "lo", "hi"])
+        .where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+        .select("column_name", "rank", "value")
+    )
 
 
 def exact_quantiles(
@@ -92,65 +160,38 @@ def exact_quantiles(
     """Linearly interpolated quantiles, exact at any size.
 
     The built-in exact percentile keeps every distinct value of a column in one
-    task. Here approximate quantiles narrow each target down to a short value
-    range first (a thousandth of the rows or so per pass), ranks below the
-    range are counted exactly, and only the values within it are ordered.
+    task. Here each rank is sought on its own: approximate quantiles narrow it
+    down to a value range, a few thousandths of the rows per pass, while the
+    ranks below the range are counted exactly. Only the last range, of at most
+    ``finish_rows`` rows or a single value, is put in order.
     ``counts`` holds the number of non-null values per column.
     """
     spark = df.sparkSession
-    values = _long_form(df, columns)
-    targets = [
-        {
-            "column": c,
-            "p": float(p),
-            "rank": int(p * (counts[c] - 1)),
-            "lo": float("-inf"),
-            "hi": float("inf"),
-            "inside": counts[c],
-        }
-        for c in columns
-        for p in probabilities
-        if counts[c]
-    ]
-    shrinking = [t for t in targets if t["inside"] > finish_rows]
-    while shrinking:
-        before = {id(t): (t["lo"], t["hi"]) for t in shrinking}
-        _narrow(values, shrinking)
-        # A bracket that no longer moves holds one value many times over.
-        shrinking = [
-            t
-            for t in shrinking
-            if t["inside"] > finish_rows and t["lo"] < t["hi"] and before[id(t)] != (t["lo"], t["hi"])
-        ]
+    wanted, targets = [], {}
+    for c in columns:
+        for p in probabilities if counts[c] else ():
+            place = p * (counts[c] - 1)
+            first = int(place)
+            second = min(first + 1, counts[c] - 1)
+            wanted.append((c, float(p), first, second, place - first))
+            for rank in (first, second):
+                targets[c, rank] = _Target(c, rank, counts[c])
+    schema = "column_name string, p double, first long, second long, part double"
+    asked = spark.createDataFrame(wanted, schema)
     if not targets:
-        return spark.createDataFrame([], "column_name string, p double, quantile double")
+        return asked.select("column_name", "p", F.col("part").alias("quantile"))
+    found = _ranked_values(_long_form(df, columns), list(targets.values()), finish_rows)
 
-    located = values.join(_brackets(spark, targets), "column_name")
-    lower = F.col("value") < F.col("lo")
-    # Values under the bracket collapse to one counted row with a null value.
-    tallied = (
-        located.where(F.col("value") <= F.col("hi"))
-        .select("column_name", "p", "rank", F.when(~lower, F.col("value")).alias("value"))
-        .groupBy("column_name", "p", "rank", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    order = Window.partitionBy("column_name", "p").orderBy(F.col("value").asc_nulls_first())
-    reached = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = tallied.withColumn("upto", reached)
+    def at(rank: str) -> Column:
+        return F.max(F.when(F.col("rank") == F.col(rank), F.col("value")))
 
-    def at(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
-
-    ends = ranked.groupBy("column_name", "p").agg(
-        at(F.col("rank")).alias("first"), at(F.col("rank") + 1).alias("second")
-    )
-    sizes = F.create_map(*[F.lit(x) for c in columns for x in (c, counts[c])])
-    exact_rank = F.col("p") * (sizes[F.col("column_name")] - 1)
-    part = exact_rank - F.floor(exact_rank)
-    second = F.coalesce("second", "first")
-    return ends.select(
-        "column_name", "p", (F.col("first") + (second - F.col("first")) * part).alias("quantile")
+    ends = (
+        found.join(F.broadcast(asked), "column_name")
+        .groupBy("column_name", "p", "part")
+        .agg(at("first").alias("low"), at("second").alias("high"))
     )
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return ends.select("column_name", "p", between.alias("quantile"))
 
 
 def profile_numeric(

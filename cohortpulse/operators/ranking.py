@@ -97,12 +97,8 @@ def average_scores(
     """Mean score per enrolment.
 
     Scores carry only the student and the assessment; module and presentation
-    come from the assessment. Scores are reduced per student and assessment
-    before the join.
+    come from the assessment.
     """
-    partial = student_assessment.groupBy("id_student", "id_assessment").agg(
-        F.sum("score").alias("_sum"), F.count("score").alias("_n")
-    )
     run = assessments.select("id_assessment", "code_module", "code_presentation")
-    total = F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))
-    return partial.join(run, "id_assessment").groupBy(*keys).agg(total.alias("avg_score"))
+    scores = student_assessment.select("id_student", "id_assessment", "score")
+    return scores.join(run, "id_assessment").groupBy(*keys).agg(F.avg("score").alias("avg_score"))

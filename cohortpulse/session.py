@@ -37,11 +37,14 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only when the setting is missing (tests, a laptop) is a temporary folder
-    made, and it is put into the session so that later calls agree.
+    Only where the setting is missing (tests, a laptop) does the context's own
+    checkpoint folder serve, which is made if need be; the setting itself is
+    fixed once a session runs.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cohortpulse-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortpulse-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")

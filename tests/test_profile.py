@@ -12,13 +12,16 @@ def draw(kind, n, random):
         return [float(random.choice([0, 0, 0, 1, 5])) for _ in range(n)]
     if kind == "tail":
         return [random.lognormvariate(0, 6) for _ in range(n)]
+    if kind == "spike":
+        # Nearly all rows share one value, and the quartiles lie around it.
+        return [1.0] * int(n * 0.7499) + [random.uniform(1, 2) for _ in range(n - int(n * 0.7499))]
     if kind == "one":
         return [4.0] * n
     return [random.uniform(-10, 10) for _ in range(n)]
 
 
 @pytest.mark.parametrize("finish", [P.FINISH_ROWS, 5])
-@pytest.mark.parametrize("kind", ["ties", "tail", "one", "even"])
+@pytest.mark.parametrize("kind", ["ties", "tail", "one", "even", "spike"])
 def test_profile_matches_numpy(spark, kind, finish):
     random = Random(kind)
     values = draw(kind, 4001, random)

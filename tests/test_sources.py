@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -60,6 +62,15 @@ def test_sink_prunes_partitions(spark, tmp_path):
     assert spark.read.parquet(path).count() == 10
 
 
+def test_shared_folder_without_the_setting(tmp_path):
+    made = []
+    context = SimpleNamespace(
+        getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append
+    )
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    assert shared_folder(session) == shared_folder(session) == made[0] and len(made) == 1
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.createDataFrame([(1, "a.b")], "k int, `a.b` string")
