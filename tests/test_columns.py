@@ -1,5 +1,4 @@
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from cohortpulse import schemas as S
