@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import grace, packing, planes
+from cohortpulse.llm import grace, packing, planes, simhash
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         grace.op10_grace_dedup,
         planes.op5_plane_ids,
         packing.op9_packing,
+        simhash.op3_simhash,
     )
 }
 ORACLES = {"op10_grace_dedup": grace.SQL}
