@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import grace, packing, planes, simhash
+from cohortpulse.llm import grace, mixing, packing, planes, quality, simhash, topk
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,9 @@ QUERIES = {
         planes.op5_plane_ids,
         packing.op9_packing,
         simhash.op3_simhash,
+        quality.op6_quality,
+        mixing.op4_mixing,
+        topk.op8_topk,
     )
 }
-ORACLES = {"op10_grace_dedup": grace.SQL}
+ORACLES = {"op10_grace_dedup": grace.SQL, "op8_topk": topk.SQL}
