@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import grace, mixing, packing, planes, quality, simhash, topk
+from cohortpulse.llm import counts, grace, lm, mixing, packing, planes, quality, simhash, topk
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,8 @@ QUERIES = {
         quality.op6_quality,
         mixing.op4_mixing,
         topk.op8_topk,
+        counts.op2_token_counts,
+        lm.op7_lm_scoring,
     )
 }
 ORACLES = {"op10_grace_dedup": grace.SQL, "op8_topk": topk.SQL}
