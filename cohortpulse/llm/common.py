@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortpulse.session import shared_folder
 
 #: Number that marks a row of one scan; see :func:`numbered`.
-ROW = "__row"
+ROW = "__cohortpulse_row"
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
 

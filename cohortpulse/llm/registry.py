@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import counts, grace, lm, mixing, packing, planes, quality, simhash, topk
+from cohortpulse.llm import counts, grace, lm, mixing, packing, planes, quality, simhash, suffixes, topk
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         topk.op8_topk,
         counts.op2_token_counts,
         lm.op7_lm_scoring,
+        suffixes.op1_suffix_dedup,
     )
 }
 ORACLES = {"op10_grace_dedup": grace.SQL, "op8_topk": topk.SQL}
