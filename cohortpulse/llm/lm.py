@@ -1,8 +1,9 @@
 """Language-model scoring by the difference of two cross-entropies.
 
 A target and a background n-gram model share one vocabulary, the token ids of a public
-tokenizer, and one form: bigrams smoothed by the model's own unigrams. A document's
-score is the mean, over its tokens, of the target's loss less the background's: the
+tokenizer, and one form: bigrams smoothed by the model's own unigrams. They are matched
+in size as well: the background's counts are scaled to the target's total, since a model
+of more text would win by its weaker smoothing. A document's score is the mean, over its tokens, of the target's loss less the background's: the
 lower, the more it reads like the target. The target is what ``labels`` marks good and
 the background is every document.
 
@@ -14,7 +15,7 @@ cut to those of its two tokens.
 
 Null and empty texts have the document end alone and are scored on it. Repeated rows
 count and are scored once each. A document with several labels is a target if any says
-so; null labels say nothing. Without a target the scores rest on its smoothing alone.
+so; null labels say nothing. Without a target every difference is zero.
 An empty table gives an empty result; other columns are ignored.
 """
 
@@ -78,9 +79,9 @@ def counted(docs: DataFrame, vocabulary: str, cells: int = CELLS, size: int = ID
 class Bigrams:
     """Log-probabilities of tokens after their predecessors, from counts."""
 
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray):
-        self.pairs = pairs.astype(np.float32)
-        self.singles = singles.astype(np.float64)
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, scale: float = 1.0):
+        self.pairs = (pairs * scale).astype(np.float32)
+        self.singles = singles * scale
         self.alone = (self.singles + 1) / (self.singles.sum() + len(singles))
 
     def losses(self, ids: np.ndarray) -> np.ndarray:
@@ -97,12 +98,14 @@ def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def models(docs: DataFrame, targets: DataFrame, vocabulary: str, cells: int = CELLS, size: int = IDS) -> tuple[Bigrams, Bigrams]:
-    """Target and background model of the same form over the same vocabulary."""
+    """Target and background model of one form, vocabulary and size."""
     rows = stored(counted(flagged(docs, targets), vocabulary, cells, size), "bigrams").toArrow()
     held = np.zeros((2, cells + size), np.int64)
     where = rows["cell"].to_numpy()
     held[0, where], held[1, where] = rows["target"].to_numpy(), rows["background"].to_numpy()
-    return Bigrams(held[0, :cells], held[0, cells:]), Bigrams(held[1, :cells], held[1, cells:])
+    target, background = held[:, cells:].sum(axis=1).tolist()
+    scale = target / background if background else 0.0
+    return Bigrams(held[0, :cells], held[0, cells:]), Bigrams(held[1, :cells], held[1, cells:], scale)
 
 
 def scored(docs: DataFrame, target: Bigrams, background: Bigrams, vocabulary: str) -> DataFrame:

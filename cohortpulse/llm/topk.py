@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
             row, ids = np.frombuffer(rows_, "<i8"), np.frombuffer(ids_, "<i8")
             data = np.frombuffer(data_, "<i8").reshape(len(row), dim)
             near = Approximation(data)
-            ask = np.frombuffer(q_data, "<i8").reshape(-1, dim)
+            ask = np.frombuffer(q_data, "<i8").reshape(len(q_rows) // 8, dim)
             for own, query_id, query in zip(np.frombuffer(q_rows, "<i8").tolist(), np.frombuffer(q_ids, "<i8").tolist(), ask):
                 for score, vec_id, at in best(data, ids, row, near, query, own, k):
                     yield own, query_id, at, vec_id, score
