@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     rows = texts.join(chosen, "doc_id").select("text", "y").mapInArrow(measured, "y int, x array<double>")
-    return pickle.loads(rows.coalesce(1).mapInArrow(fitted, "model binary").first()["model"])
+    return pickle.loads(rows.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 def scorer(model: Additive):
