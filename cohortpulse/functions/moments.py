@@ -7,12 +7,18 @@ test for zero variance sound.
 
 ``S_2..S_4`` are kept as three sums of 21-bit parts. Plain long sums would
 overflow for large groups, and sums of wide decimals leave the fast aggregation
-path; the parts stay longs, and none can overflow below 2**42 rows per group.
+path; the parts stay longs, and none can overflow below 2**41 rows per group.
+The highest part of a negative term is negative and the lower two are not, so a
+group's parts can be far larger than its sum. They are put together from the
+highest down, where each step gives the sum shifted right, give or take the
+number of rows, and never an intermediate that a long cannot hold.
 A single row whose ``c * d**4`` exceeds a long raises under ANSI mode; for such
 data ``wide`` sums decimals instead.
 
 After the aggregation a group whose sums are small enough for longs, which its
-largest day bounds, is finished in longs, any other in wide decimals.
+largest day bounds, is finished in longs, any other in wide decimals. Negative
+clicks count as they are: their groups are finished in wide decimals, as their
+total bounds nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ EXACT = "decimal(38,0)"
 
 WEIGHT = "_w"
 LARGEST = "_far"
+LEAST = "_least"
 
 
 def _sum_name(power: int, part: int | None = None) -> str:
@@ -57,12 +64,12 @@ def power_sum_aggregates(day: str, weight: str, wide: bool = False) -> list[Colu
             low = f" & {(1 << PART_BITS) - 1}L" if part < PARTS - 1 else ""
             sums[_sum_name(power, part)] = shifted + low
     aggregates = [F.expr(f"sum({text}) as {name}") for name, text in sums.items()]
-    return [*aggregates, F.expr(f"max(abs({d})) as {LARGEST}")]
+    return [*aggregates, F.expr(f"max(abs({d})) as {LARGEST}"), F.expr(f"min({c}) as {LEAST}")]
 
 
 def power_sum_columns(wide: bool = False) -> list[str]:
     """Names of the columns the aggregates make."""
-    names = [WEIGHT, LARGEST, _sum_name(0), _sum_name(1)]
+    names = [WEIGHT, LARGEST, LEAST, _sum_name(0), _sum_name(1)]
     for power in range(2, HIGHEST + 1):
         names += [_sum_name(power)] if wide else [_sum_name(power, i) for i in range(PARTS)]
     return names
@@ -75,17 +82,15 @@ def _sums_as(kind: str, wide: bool) -> list[str]:
         return f"cast({name} as {kind})"
 
     sums = [read(_sum_name(0)), read(_sum_name(1))]
-    scale = "bigint" if kind == "bigint" else "decimal(14,0)"
+    scale = "bigint" if kind == "bigint" else "decimal(8,0)"
     for power in range(2, HIGHEST + 1):
         if wide:
             sums.append(read(_sum_name(power)))
             continue
-        parts = [
-            f"{read(_sum_name(power, i))} * cast({1 << (PART_BITS * i)} as {scale})" if i
-            else read(_sum_name(power, i))
-            for i in reversed(range(PARTS))
-        ]
-        sums.append(" + ".join(parts))
+        total = read(_sum_name(power, PARTS - 1))
+        for part in reversed(range(PARTS - 1)):
+            total = f"(({total}) * cast({1 << PART_BITS} as {scale}) + {read(_sum_name(power, part))})"
+        sums.append(total)
     return [f"coalesce({s}, cast(0 as {kind}))" for s in sums]
 
 
@@ -134,14 +139,15 @@ def moments_of_sums(totals: DataFrame, wide: bool = False) -> DataFrame:
     keep = [identifier(c) for c in totals.columns if c not in scratch]
 
     # No sum of terms of a translation exceeds 16 W far**4, and no part of the
-    # spread 8 W**2 far**2.
+    # spread 8 W**2 far**2. Half a long's range is left for the parts of a sum.
     fits = (
-        f"16D * double({WEIGHT}) * pow(double({LARGEST}), 4) < 9e18D and "
-        f"8D * pow(double({WEIGHT}), 2) * greatest(pow(double({LARGEST}), 2), 1D) < 9e18D and {WEIGHT} >= 0"
+        f"16D * double({WEIGHT}) * pow(double({LARGEST}), 4) < 4e18D and "
+        f"8D * pow(double({WEIGHT}), 2) * greatest(pow(double({LARGEST}), 2), 1D) < 4e18D and {LEAST} >= 0"
     )
     centred = totals.selectExpr(
         "*",
-        f"coalesce(rint({_sum_name(1)} / nullif(double({_sum_name(0)}), 0D)), 0D) as _m",
+        # with negative clicks the mean may lie far outside the days, where sums would not fit
+        f"greatest(least(coalesce(rint({_sum_name(1)} / nullif(double({_sum_name(0)}), 0D)), 0D), double({LARGEST})), -double({LARGEST})) as _m",
         "false as _fits" if wide else f"coalesce({fits}, false) as _fits",
     )
 

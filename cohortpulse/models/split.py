@@ -17,11 +17,12 @@ def in_test(
     """Whether a row belongs to the test part, from a hash of its key.
 
     Independent of partitioning and row order, and needs no shuffle. The share
-    holds in expectation; an exact share would need a global ranking.
+    holds in expectation; an exact share would need a global ranking. A row with
+    a null key part has no key to hash and belongs to the training part.
     """
     text = joined_key(F.lit(seed), *keys)
     bucket = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100
-    return bucket < test_percent
+    return F.coalesce(bucket < test_percent, F.lit(False))
 
 
 def train_test_split(

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import inf, nextafter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUARTILES = (0.25, 0.5, 0.75)
-GRID = 1000
-# An approximate quantile may be off by rows / accuracy ranks; one grid step is
-# ten times that, so the neighbouring grid points always enclose the target.
-ACCURACY = 10 * GRID
-FINISH_ROWS = 1_000_000
+# Bits of a value that one pass settles.
+DIGIT = 11
 
 
 def peek(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
@@ -50,104 +46,76 @@ def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
+def _cleaned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as they are profiled: NaN is missing, as null is."""
+    kinds = dict(df.dtypes)
+    return df.select(
+        *[
+            (F.nanvl(F.col(f"`{c}`"), F.lit(None)) if kinds[c] in ("double", "float") else F.col(f"`{c}`")).alias(c)
+            for c in columns
+        ]
+    )
+
+
+def _with_order_key(values: DataFrame) -> DataFrame:
+    """Adds ``key``, a long that orders like the double ``value``.
+
+    It is the value's binary form: exponent above 52 bits of mantissa, negated for
+    negative values. Dividing by a power of two is exact, so no rounding enters.
+    """
+    size = values.selectExpr("*", "abs(value) as _x", "least(floor(log2(abs(value))), 1023L) as _e0")
+    size = size.selectExpr(
+        "*", "case when _x >= pow(2D, _e0 + 1) then _e0 + 1 when _x < pow(2D, _e0) then _e0 - 1 else _e0 end as _e"
+    )
+    key = (
+        "case when _x = 0 then 0L when _x = double('Infinity') then 9218868437227405312L"
+        " when _x < 2.2250738585072014E-308D then bigint(_x / 4.9E-324D)"
+        " else (_e + 1022L) * 4503599627370496L + bigint(_x / pow(2D, _e) * 4503599627370496D) end"
+    )
+    return size.selectExpr("column_name", "value", f"if(value < 0, -1L, 1L) * {key} as key")
+
+
 @dataclass
 class _Target:
-    """A value sought by its rank, and the range it is known to lie in."""
+    """A value sought by its rank, and the cell it is known to lie in."""
 
     column: str
     rank: int
-    inside: int
+    cell: int | None = None
     below: int = 0
-    lo: float = -inf
-    hi: float = inf
-    counted: bool = True
-
-    @property
-    def range(self) -> tuple[str, float, float]:
-        return self.column, self.lo, self.hi
-
-    def shrink(self, at_lo: int, at_hi: int, grid: list[float]) -> None:
-        """Tighten the range, given counts of its ends and its quantile grid."""
-        place = self.rank - self.below
-        if place < at_lo:
-            self.hi, self.inside = self.lo, at_lo
-        elif place >= self.inside - at_hi:
-            self.below += self.inside - at_hi
-            self.lo, self.inside = self.hi, at_hi
-        else:
-            # Neither end is the value, so both can go, with all their copies.
-            self.lo, self.hi = nextafter(self.lo, inf), nextafter(self.hi, -inf)
-            cell = int(place / ((self.inside - 1) / GRID))
-            if cell > 1:
-                self.lo = max(self.lo, grid[cell - 1])
-            if cell + 2 < GRID:
-                self.hi = min(self.hi, grid[cell + 2])
-            self.counted = False
-
-
-def _beside_ranges(values: DataFrame, targets: list[_Target]) -> DataFrame:
-    """Values beside each range of their column.
-
-    The range table is bounded by columns times probabilities, whatever the
-    data, and is broadcast.
-    """
-    ranges = values.sparkSession.createDataFrame(
-        sorted({t.range for t in targets}), "column_name string, lo double, hi double"
-    )
-    return values.join(F.broadcast(ranges), "column_name")
-
-
-def _narrow(values: DataFrame, targets: list[_Target], finish_rows: int) -> None:
-    """One pass over the values: count the ranges, and tighten the long ones."""
-    value = F.col("value")
-    inside = value.between(F.col("lo"), F.col("hi"))
-    grid = [i / GRID for i in range(GRID + 1)]
-    found = (
-        _beside_ranges(values, targets)
-        .groupBy("column_name", "lo", "hi")
-        .agg(
-            F.count_if(value < F.col("lo")).alias("below"),
-            F.count_if(inside).alias("inside"),
-            F.count_if(value == F.col("lo")).alias("at_lo"),
-            F.count_if(value == F.col("hi")).alias("at_hi"),
-            F.percentile_approx(F.when(inside, value), grid, ACCURACY).alias("grid"),
-        )
-        .collect()
-    )
-    by_range = {(r["column_name"], r["lo"], r["hi"]): r for r in found}
-    for t in targets:
-        r = by_range[t.range]
-        t.below, t.inside, t.counted = r["below"], r["inside"], True
-        if t.inside > finish_rows and t.lo < t.hi:
-            t.shrink(r["at_lo"], r["at_hi"], r["grid"])
-
+    value: float | None = None
 
-def _ranked_values(values: DataFrame, targets: list[_Target], finish_rows: int) -> DataFrame:
-    """The value at every target's rank."""
 
-    def unfinished() -> list[_Target]:
-        return [t for t in targets if not t.counted or (t.inside > finish_rows and t.lo < t.hi)]
+def _refine(keyed: DataFrame, targets: list[_Target], above: int | None, shift: int) -> None:
+    """One pass: count the cells of the next digit and move every target into its own.
 
-    while unfinished():
-        _narrow(values, unfinished(), finish_rows)
-    tallied = (
-        _beside_ranges(values, targets)
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy("column_name", "lo", "hi", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    order = Window.partitionBy("column_name", "lo", "hi").orderBy("value")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    places = values.sparkSession.createDataFrame(
-        [(*t.range, t.rank, t.rank - t.below) for t in targets],
-        "column_name string, lo double, hi double, rank long, place long",
-    )
-    return (
-        tallied.withColumn("upto", upto)
-        .join(F.broadcast(places), ["column_name", "lo", "hi"])
-        .where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
-        .select("column_name", "rank", "value")
+    At most 2**DIGIT cells per target's cell are collected, whatever the data.
+    """
+    cell = F.shiftright("key", shift).alias("cell")
+    parent = F.lit(None).cast("long") if above is None else F.shiftright("key", above)
+    given = keyed.select("column_name", "value", parent.alias("parent"), cell)
+    if above is not None:
+        # columns times probabilities rows, so small by construction
+        wanted = keyed.sparkSession.createDataFrame(
+            sorted({(t.column, t.cell) for t in targets}), "column_name string, parent long"
+        )
+        given = given.join(F.broadcast(wanted), ["column_name", "parent"])
+    found: dict[tuple[str, int | None], list] = {}
+    counted = given.groupBy("column_name", "parent", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
+    for r in counted.collect():
+        found.setdefault((r["column_name"], r["parent"]), []).append(r)
+    for cells in found.values():
+        cells.sort(key=lambda r: r["cell"])
+    for t in targets:
+        for r in found[t.column, t.cell]:
+            if t.rank < t.below + r["n"]:
+                break
+            t.below += r["n"]
+        t.cell = r["cell"]
+        if r["low"] == r["high"]:
+            t.value = r["low"]
 
 
 def exact_quantiles(
@@ -155,16 +123,15 @@ def exact_quantiles(
     columns: Sequence[str],
     counts: dict[str, int],
     probabilities: Sequence[float] = QUARTILES,
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size.
 
     The built-in exact percentile keeps every distinct value of a column in one
-    task. Here each rank is sought on its own: approximate quantiles narrow it
-    down to a value range, a few thousandths of the rows per pass, while the
-    ranks below the range are counted exactly. Only the last range, of at most
-    ``finish_rows`` rows or a single value, is put in order.
-    ``counts`` holds the number of non-null values per column.
+    task. Here ranks are found digit by digit: values become order-preserving longs,
+    a pass counts the next ``DIGIT`` bits of those that share a sought rank's leading
+    bits, and the counts tell the next digit. All columns and ranks go together, the
+    number of passes is fixed, and a rank whose cell holds a single value is done.
+    ``counts`` holds the number of values per column, NaN and null not among them.
     """
     spark = df.sparkSession
     wanted, targets = [], {}
@@ -175,38 +142,34 @@ def exact_quantiles(
             second = min(first + 1, counts[c] - 1)
             wanted.append((c, float(p), first, second, place - first))
             for rank in (first, second):
-                targets[c, rank] = _Target(c, rank, counts[c])
-    schema = "column_name string, p double, first long, second long, part double"
-    asked = spark.createDataFrame(wanted, schema)
-    if not targets:
-        return asked.select("column_name", "p", F.col("part").alias("quantile"))
-    found = _ranked_values(_long_form(df, columns), list(targets.values()), finish_rows)
-
-    def at(rank: str) -> Column:
-        return F.max(F.when(F.col("rank") == F.col(rank), F.col("value")))
-
-    ends = (
-        found.join(F.broadcast(asked), "column_name")
-        .groupBy("column_name", "p", "part")
-        .agg(at("first").alias("low"), at("second").alias("high"))
-    )
-    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    return ends.select("column_name", "p", between.alias("quantile"))
+                targets[c, rank] = _Target(c, rank)
+    keyed = _with_order_key(_long_form(_cleaned(df, columns), columns))
+    above = None
+    for shift in range(64 - DIGIT, -DIGIT, -DIGIT):
+        open_ = [t for t in targets.values() if t.value is None]
+        if not open_:
+            break
+        _refine(keyed, open_, above, max(shift, 0))
+        above = max(shift, 0)
+    found = []
+    for c, p, first, second, part in wanted:
+        low, high = targets[c, first].value, targets[c, second].value
+        found.append((c, p, low if low == high else low + (high - low) * part))
+    return spark.createDataFrame(found, "column_name string, p double, quantile double")
 
 
 def profile_numeric(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles, max; a row per column.
 
-    The table is read more than once; write or persist it first when computing
-    it is expensive.
+    Null and NaN are missing and left out of all of them. The table is read more
+    than once, before this returns; write it first when computing it is expensive.
     """
     names = list(columns or numeric_columns(df))
     spark = df.sparkSession
-    stats = df.agg(
+    stats = _cleaned(df, names).agg(
         *[
             F.struct(
                 F.count(c).alias("n"),
@@ -224,10 +187,11 @@ def profile_numeric(
         "column_name string, count long, mean double, std double, min double, max double",
     )
     counts = {row[0]: row[1] for row in basic}
-    quartiles = exact_quantiles(df, names, counts, QUARTILES, finish_rows)
+    quartiles = exact_quantiles(df, names, counts, QUARTILES)
     wide = quartiles.groupBy("column_name").agg(
         *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"p{int(p * 100)}") for p in QUARTILES]
     )
-    return table.join(wide, "column_name", "left").select(
+    # one row per column of the table on either side
+    return table.join(F.broadcast(wide), "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )

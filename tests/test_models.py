@@ -52,6 +52,12 @@ def test_split_ignores_partitioning_and_order(spark):
     assert rows(S.train_test_split(df, seed=2)[1]) != rows(test)
 
 
+def test_split_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1, "AAA", None), (2, "AAA", "2013J")], "id_student int, code_module string, code_presentation string")
+    train, test = S.train_test_split(df)
+    assert train.count() + test.count() == 2 and train.where("code_presentation is null").count() == 1
+
+
 def report(df, **options):
     return {r["class"]: (r.precision, r.recall, r.f1, r.support) for r in V.classification_report(df, **options).collect()}
 

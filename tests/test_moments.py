@@ -166,3 +166,25 @@ def test_fused_totals_equal_the_single_operators(spark):
         M.click_moments(clicks),
     )
     assert rows(fused.select(single.columns)) == rows(single)
+
+
+@pytest.mark.parametrize("days", [(-10, -1), (-10, 9), (1, 10)])
+@pytest.mark.parametrize("n", [3_000_000, 10_000_000])
+def test_many_rows_of_one_key(spark, days, n):
+    """A hot key whose parts of sums far exceed the sums themselves."""
+    low, high = days
+    day = (F.col("id") % (high - low + 1) + low).cast("int")
+    df = spark.range(n).select(F.lit(1).alias("id"), day.alias("click_date"), F.lit(1).alias("sum_click"))
+    once, wide = (M.click_moments(df, ["id"], wide=w).first() for w in (False, True))
+    assert close(tuple(once)[1:], tuple(wide)[1:])
+    spread = high - low + 1
+    assert once.click_time_variance == pytest.approx((spread**2 - 1) / 12)
+
+
+def test_negative_clicks_count_as_they_are(spark):
+    check(spark, [(1, -3, 5), (1, 4, -2), (1, 9, 6), (2, 2, -1), (2, 1, 7), (2, 3, 4)])
+    # a total near zero puts the mean far outside the days, and the variance below zero
+    far = spark.createDataFrame([(3, 100, 10**9), (3, -100, 1 - 10**9)], FACT)
+    mean = 100 * (2 * 10**9 - 1)
+    got = M.click_moments(far, ["id"]).first()
+    assert got.click_time_variance == pytest.approx(10**4 - mean**2) and got.click_time_skewness is None

@@ -1,3 +1,5 @@
+import math
+import struct
 from random import Random
 
 import numpy as np
@@ -20,14 +22,13 @@ def draw(kind, n, random):
     return [random.uniform(-10, 10) for _ in range(n)]
 
 
-@pytest.mark.parametrize("finish", [P.FINISH_ROWS, 5])
 @pytest.mark.parametrize("kind", ["ties", "tail", "one", "even", "spike"])
-def test_profile_matches_numpy(spark, kind, finish):
+def test_profile_matches_numpy(spark, kind):
     random = Random(kind)
     values = draw(kind, 4001, random)
     data = [(v, None if random.random() < 0.3 else int(v) % 1000) for v in values]
     df = spark.createDataFrame(data, "x double, y long").repartition(5)
-    got = {r.column_name: r for r in P.profile_numeric(df, finish_rows=finish).collect()}
+    got = {r.column_name: r for r in P.profile_numeric(df).collect()}
     for name, column in (("x", [d[0] for d in data]), ("y", [d[1] for d in data if d[1] is not None])):
         r = got[name]
         assert r["count"] == len(column)
@@ -40,7 +41,7 @@ def test_profile_matches_numpy(spark, kind, finish):
 def test_small_sizes(spark, n):
     values = [float(v * v) for v in range(n)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = P.exact_quantiles(df, ["x"], {"x": n}, (0.1, 0.5, 1.0), finish_rows=1)
+    got = P.exact_quantiles(df, ["x"], {"x": n}, (0.1, 0.5, 1.0))
     assert [r[2] for r in rows(got)] == pytest.approx(list(np.percentile(values, [10, 50, 100])))
 
 
@@ -56,3 +57,21 @@ def test_peek_and_shape(spark):
     assert P.shape(df) == (3, 2)
     assert rows(P.shape_table(df, "t")) == [("t", 3, 2, "k,v")]
     assert P.numeric_columns(df) == ["k"]
+
+
+def test_order_keys_are_binary_forms(spark):
+    random = Random(1)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), -float("inf")]
+    values += [struct.unpack("<d", struct.pack("<Q", random.getrandbits(64) & ~(2047 << 52) | random.randrange(2047) << 52))[0] for _ in range(2000)]
+    values += [2.0**k * m for k in range(-1073, 1023, 7) for m in (1.0, 1 - 2**-53, 1 + 2**-52)]
+    df = spark.createDataFrame([("x", v) for v in values], "column_name string, value double")
+    for r in P._with_order_key(df).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.value)))[0]
+        assert r.key == (-bits if r.value < 0 else bits), r.value
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (3.0, 3), (math.nan, 4), (None, 5)], "x double, y int")
+    got = {r.column_name: r for r in P.profile_numeric(df).collect()}
+    assert (got["x"]["count"], got["x"]["mean"], got["x"]["p75"], got["x"]["max"]) == (3, 2.0, 2.5, 3.0)
+    assert got["y"]["count"] == 5
