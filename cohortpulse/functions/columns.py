@@ -71,8 +71,7 @@ def presentation_group(
     module: str = "code_module", presentation: str = "code_presentation"
 ) -> Column:
     """Group number 0..12 of a module run; null where the run is not listed."""
-    flat = {f"{m}-{p}": g for m, runs in PRESENTATION_GROUPS.items() for p, g in runs.items()}
-    return lookup(f"concat({identifier(module)}, '-', {identifier(presentation)})", flat)
+    return lookup(f"concat({identifier(module)}, '-', {identifier(presentation)})", PRESENTATION_GROUPS)
 
 
 def deprivation_decile(band: str = "imd_band") -> Column:

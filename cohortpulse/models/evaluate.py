@@ -48,9 +48,10 @@ def classification_report(
 ) -> DataFrame:
     """Precision, recall, F1 and support per class, accuracy and averages.
 
-    Rows per model: the classes '0' and '1', 'accuracy' (its value in every
-    score column), 'macro avg' and 'weighted avg'. The data is reduced to four
-    counts per model before anything else.
+    Rows per model: the classes that occur among labels or predictions,
+    'accuracy' (its value in every score column), 'macro avg' over the classes that
+    occur, and 'weighted avg'. The data is reduced to four counts per model before
+    anything else.
     """
     cells = confusion(scored, label, prediction, by)
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
@@ -79,11 +80,13 @@ def classification_report(
         parts = a * F.col("c0.support") + b * F.col("c1.support")
         return _share(parts, total)
 
+    # the scores of a class that occurs nowhere are all 0
+    occurring = F.when(tn + fn + fp > 0, 1).otherwise(0) + F.when(tp + fp + fn > 0, 1).otherwise(0)
     rows = F.array(
-        F.col("c0"),
-        F.col("c1"),
+        F.when(tn + fn + fp > 0, F.col("c0")),
+        F.when(tp + fp + fn > 0, F.col("c1")),
         average("accuracy", lambda a, b: accuracy),
-        average("macro avg", lambda a, b: (a + b) / 2),
+        average("macro avg", lambda a, b: _share(a + b, occurring)),
         average("weighted avg", weighted),
     )
-    return classes.select(*by, F.inline(rows))
+    return classes.select(*by, F.inline(F.array_compact(rows)))

@@ -13,14 +13,15 @@ from cohortpulse.models.train import Fitted
 from cohortpulse.session import shared_folder
 
 
-def split_gains(fitted: Fitted) -> DataFrame:
+def split_gains(fitted: Fitted, folder: str | None = None) -> DataFrame:
     """Gain per feature: mean and sum over its splits, and their number.
 
     Spark's own importance is normalised and weighted by node size, so the
-    gains are read from the node table of the saved model instead.
+    gains are read from the node table of the model, saved below ``folder`` or in
+    the shared folder.
     """
     spark = fitted.test.sparkSession
-    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/model-{uuid.uuid4().hex}"
     fitted.model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("nodeData.*")
     names = F.create_map(*[F.lit(x) for pair in enumerate(fitted.features) for x in pair])
@@ -42,9 +43,9 @@ def split_gains(fitted: Fitted) -> DataFrame:
     )
 
 
-def top_gains(models: Sequence[Fitted], n: int = 15) -> DataFrame:
-    """The ``n`` features with the highest mean gain, per model."""
-    gains = reduce(DataFrame.unionByName, [split_gains(m) for m in models])
+def top_gains(models: Sequence[Fitted], n: int = 15, path: str | None = None) -> DataFrame:
+    """The ``n`` features with the highest mean gain, per trained model."""
+    gains = reduce(DataFrame.unionByName, [split_gains(m, path) for m in models if m.model is not None])
     order = Window.partitionBy("model").orderBy(F.desc("mean_gain"), "feature")
     return gains.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from cohortpulse.functions.columns import clean_name, identifier
 from cohortpulse.models.evaluate import THRESHOLD, classification_report, predicted
-from cohortpulse.models.split import train_test_split
+from cohortpulse.models.split import in_test, train_test_split
 from cohortpulse.operators.cohort import in_group
-from cohortpulse.operators.encode import MISSING_SUFFIX, fill_missing, non_zero_columns
+from cohortpulse.operators.encode import MISSING_SUFFIX, fill_missing, non_zero_columns, non_zero_flags
 from cohortpulse.schemas import (
     ENROLMENT_KEYS,
     MODEL_GROUPS,
@@ -30,6 +30,7 @@ from cohortpulse.sources.sinks import write_and_read
 LABEL = "distinction"
 GROUP = "pres_groups"
 POOLED = "all"
+# Shown by the registered query of the indicators; models flag whatever is null.
 MAY_BE_MISSING = ["dep_dec", *MOMENT_COLUMNS]
 
 
@@ -50,12 +51,16 @@ class Settings:
 
 @dataclass(frozen=True)
 class Fitted:
-    """A trained model with the input columns it saw."""
+    """A trained model with the input columns it saw.
+
+    ``model`` is None where the training part lacks a class.
+    """
 
     name: str
-    model: GBTClassificationModel
+    model: GBTClassificationModel | None
     features: list[str]
     test: DataFrame
+    threshold: float = THRESHOLD
 
 
 def feature_columns() -> list[str]:
@@ -63,27 +68,34 @@ def feature_columns() -> list[str]:
     return [clean_name(c) for c in modelling_columns() if c not in (LABEL, GROUP)]
 
 
-def prepare(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Fill missing values; returns the frame and the widened input columns."""
+def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns that hold a null or NaN anywhere, from one aggregate."""
+    counts = df.agg(
+        *[F.expr(f"count_if(nullif(double({identifier(c)}), double('NaN')) is null) as {identifier(c)}") for c in columns]
+    ).first()
+    return [c for c in columns if counts[c]]
+
+
+def prepare(
+    df: DataFrame, columns: Sequence[str], flagged: Sequence[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Fill missing values; returns the frame and the widened input columns.
+
+    One rule for every input: a column with missing values, found in ``df`` unless
+    ``flagged`` names them, is filled with 0 and gets an indicator.
+    """
     columns = list(columns)
-    flagged = [c for c in columns if c in MAY_BE_MISSING]
-    chosen = [
-        f"coalesce(double({identifier(c)}), 0D) as {identifier(c)}"
-        if c in columns and c not in flagged
-        else identifier(c)
-        for c in df.columns
-    ]
-    filled = fill_missing(df.selectExpr(*chosen), flagged)
-    return filled, [*columns, *[c + MISSING_SUFFIX for c in flagged]]
+    flagged = missing_columns(df, columns) if flagged is None else [c for c in columns if c in flagged]
+    return fill_missing(df, flagged), [*columns, *[c + MISSING_SUFFIX for c in flagged]]
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write the frame, by group, to the shared folder and read it back.
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the frame, by group, to ``path`` or the shared folder and read it back.
 
     Every boosting round reads its input; a written table makes that cheap,
     survives lost executors, and lets a group's model read its group only.
     """
-    return write_and_read(df, "features", GROUP)
+    return write_and_read(df, "features", GROUP, path)
 
 
 def fit(
@@ -110,37 +122,68 @@ def fit(
     return booster.fit(assembler.transform(weighted).select("features", LABEL, "_weight"))
 
 
-def score(fitted: Fitted, threshold: float = THRESHOLD) -> DataFrame:
-    """Test rows with positive-class probability, default and shifted decision."""
+def score(fitted: Fitted, threshold: float | None = None) -> DataFrame:
+    """Test rows with positive-class probability, default and shifted decision.
+
+    The shifted one is at the model's own threshold unless another is given.
+    """
+    if fitted.model is None:
+        raise ValueError(f"model {fitted.name} could not be trained")
     assembler = VectorAssembler(inputCols=fitted.features, outputCol="features")
     scored = fitted.model.transform(assembler.transform(fitted.test))
+    shifted = predicted("probability_1", fitted.threshold if threshold is None else threshold)
     return scored.select(
         F.lit(fitted.name).alias("model"),
         *ENROLMENT_KEYS,
         LABEL,
         vector_to_array("probability")[1].alias("probability_1"),
         F.col("prediction").cast("int").alias("prediction_default"),
-    ).withColumn("prediction", predicted("probability_1", threshold))
+    ).withColumn("prediction", shifted)
 
 
-def _trainable(staged: DataFrame, settings: Settings) -> set:
-    """Groups whose training part holds both classes, from one aggregate."""
-    train, _ = train_test_split(staged, test_percent=settings.test_percent, seed=settings.seed)
-    span = train.groupBy(GROUP).agg(F.min(LABEL).alias("low"), F.max(LABEL).alias("high"))
-    return {r[GROUP] for r in span.where("low < high").collect()}
+def supports(modelling: DataFrame, groups: Sequence[int] = MODEL_GROUPS, settings: Settings = Settings()) -> DataFrame:
+    """Training and test rows of each model and class: ``model, class, n_train, n_test``.
+
+    All models come from one aggregate: a row counts for its group and for the pooled one.
+    """
+    test = in_test(test_percent=settings.test_percent, seed=settings.seed)
+    own = F.when(F.col(GROUP).isin(list(groups)), F.col(GROUP).cast("string"))
+    rows = modelling.select(F.explode(F.array_compact(F.array(F.lit(POOLED), own))).alias("model"), F.col(LABEL).alias("class"), test.alias("_test"))
+    return rows.groupBy("model", "class").agg(F.count_if(~F.col("_test")).alias("n_train"), F.count_if("_test").alias("n_test"))
+
+
+def kept_features(modelling: DataFrame, groups: Sequence[int] = MODEL_GROUPS) -> DataFrame:
+    """Inputs of each model before indicators: ``model, feature``. A group's model
+    keeps the columns used in the group, the pooled one all of them."""
+    names = feature_columns()
+    listed = modelling.where(F.col(GROUP).isin(list(groups)))
+    flags = non_zero_flags(listed, names, GROUP)
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(identifier(c)).alias("used")) for c in names]))
+    own = flags.select(F.col(GROUP).cast("string").alias("model"), pairs).where("used = 1").select("model", "feature")
+    spark = modelling.sparkSession
+    return own.unionByName(spark.createDataFrame([(POOLED, c) for c in names], "model string, feature string"))
+
+
+def _trainable(staged: DataFrame, groups: Sequence[int], settings: Settings) -> set[str]:
+    """Models whose training part holds both classes."""
+    classes = supports(staged, groups, settings).where("n_train > 0").groupBy("model").count()
+    return {r["model"] for r in classes.where("count > 1").collect()}
 
 
 def _fit_part(
-    name: str, part: DataFrame, columns: Sequence[str], weight: float, settings: Settings
+    name: str, part: DataFrame, columns: Sequence[str], flagged: Sequence[str], weight: float, trainable: bool, settings: Settings
 ) -> Fitted:
-    prepared, features = prepare(part, columns)
+    prepared, features = prepare(part, columns, flagged)
     train, test = train_test_split(prepared, test_percent=settings.test_percent, seed=settings.seed)
-    return Fitted(name, fit(train, features, weight, settings), features, test)
+    model = fit(train, features, weight, settings) if trainable else None
+    return Fitted(name, model, features, test, settings.threshold)
 
 
 def fit_pooled(staged: DataFrame, settings: Settings = Settings()) -> Fitted:
     """One model over all rows, those without a group included."""
-    return _fit_part(POOLED, staged, feature_columns(), settings.pooled_weight, settings)
+    flagged = missing_columns(staged, feature_columns())
+    trainable = POOLED in _trainable(staged, (), settings)
+    return _fit_part(POOLED, staged, feature_columns(), flagged, settings.pooled_weight, trainable, settings)
 
 
 def fit_groups(
@@ -151,19 +194,20 @@ def fit_groups(
 ) -> list[Fitted]:
     """One model per presentation group, on the columns used in that group.
 
-    Groups whose training part holds a single class are left out. The fits are
-    independent Spark jobs and are submitted side by side.
+    A group whose training part lacks a class has no model to train; its entry says
+    so. The fits are independent Spark jobs and are submitted side by side.
     """
     listed = staged.where(F.col(GROUP).isin(list(groups)))
     kept = non_zero_columns(listed, feature_columns(), GROUP)
-    trainable = _trainable(listed, settings)
+    flagged = missing_columns(listed, feature_columns())
+    trainable = _trainable(listed, groups, settings)
 
     def one(group: int) -> Fitted:
         part = in_group(staged, group)
-        return _fit_part(str(group), part, kept[group], settings.group_weight, settings)
+        return _fit_part(str(group), part, kept.get(group, []), flagged, settings.group_weight, str(group) in trainable, settings)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(one, [g for g in groups if g in trainable]))
+        return list(pool.map(one, groups))
 
 
 def fit_study(
@@ -171,13 +215,42 @@ def fit_study(
     groups: Sequence[int] = MODEL_GROUPS,
     settings: Settings = Settings(),
     parallelism: int = 4,
+    path: str | None = None,
 ) -> list[Fitted]:
-    """All group models followed by the pooled one."""
-    staged = stage(modelling)
+    """All group models followed by the pooled one; ``path`` is where rows are staged."""
+    staged = stage(modelling, path)
     return [*fit_groups(staged, groups, settings, parallelism), fit_pooled(staged, settings)]
 
 
-def study_report(models: Sequence[Fitted], threshold: float = THRESHOLD) -> DataFrame:
-    """Classification report of every model on its own test rows."""
-    scored = reduce(DataFrame.unionByName, [score(m, threshold) for m in models])
-    return classification_report(scored, by=["model"])
+UNTRAINED = "not trained: one class"
+
+
+def study_report(models: Sequence[Fitted], threshold: float | None = None) -> DataFrame:
+    """Classification report of every model on its own test rows, at its threshold and,
+    as ``decision`` says, at the default of 0.5.
+
+    A model that could not be trained has one row, with its test rows as support.
+    """
+    parts = []
+    for m in models:
+        if m.model is None:
+            counted = m.test.agg(F.count(F.lit(1)).alias("support"))
+            none = F.lit(None).cast("double")
+            parts.append(
+                counted.select(
+                    F.lit(m.name).alias("model"), F.lit(None).cast("string").alias("decision"), F.lit(UNTRAINED).alias("class"),
+                    none.alias("precision"), none.alias("recall"), none.alias("f1"), "support",
+                )
+            )
+    trained = [score(m, threshold) for m in models if m.model is not None]
+    if trained:
+        scored = reduce(DataFrame.unionByName, trained)
+        decisions = F.explode(
+            F.array(
+                F.struct(F.lit("threshold").alias("decision"), F.col("prediction").alias("said")),
+                F.struct(F.lit("default").alias("decision"), F.col("prediction_default").alias("said")),
+            )
+        )
+        both = scored.select("model", LABEL, decisions.alias("d")).select("model", LABEL, "d.decision", F.col("d.said").alias("prediction"))
+        parts.append(classification_report(both, by=["model", "decision"]))
+    return reduce(DataFrame.unionByName, parts)

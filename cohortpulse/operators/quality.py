@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortpulse.schemas import FOREIGN_KEYS, PRIMARY_KEYS, ForeignKey
+
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that are null in part or occur more than once."""
@@ -42,6 +44,44 @@ def orphans(
     return counted.join(known, list(columns), "left_anti")
 
 
+def key_text(columns: Sequence[str]) -> Column:
+    """Key parts joined by '-', with NULL for a part that is null."""
+    return F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
+
+
+def check_keys(
+    tables: Mapping[str, DataFrame], declared: Mapping[str, Sequence[str]] = PRIMARY_KEYS
+) -> DataFrame:
+    """Violations of every declared primary key whose table is given:
+    ``table_name, key, n_rows, problem``."""
+    found = [
+        key_violations(tables[t], keys).select(F.lit(t).alias("table_name"), key_text(keys).alias("key"), "n_rows", "problem")
+        for t, keys in declared.items()
+        if t in tables
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def check_references(
+    tables: Mapping[str, DataFrame], declared: Sequence[ForeignKey] = tuple(FOREIGN_KEYS)
+) -> DataFrame:
+    """Orphans of every declared reference between tables that are given:
+    ``reference, key, n_rows``.
+
+    A child that lacks a column of its reference takes it from the assessment it names.
+    """
+    found = []
+    for f in declared:
+        if f.child not in tables or f.parent not in tables:
+            continue
+        child = tables[f.child]
+        if absent := [c for c in f.columns if c not in child.columns]:
+            child = child.join(tables["assessments"].select("id_assessment", *absent), "id_assessment")
+        missing = orphans(child, tables[f.parent], f.columns)
+        found.append(missing.select(F.lit(f.name).alias("reference"), key_text(f.columns).alias("key"), "n_rows"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def overlong(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:
     """Per bounded string column: values over the limit and the longest one.
 

@@ -10,9 +10,7 @@ from __future__ import annotations
 from cohortpulse.schemas import (
     ACTIVITY_TYPES,
     CATEGORIES,
-    DEGREE_FLAGS,
     MOMENT_COLUMNS,
-    PRESENTATION_GROUPS,
     STUDENT_INFO,
     click_column,
     dummy_column,
@@ -44,25 +42,50 @@ def _r6(expression: str, name: str) -> str:
     )
 
 
-GROUP_CASE = (
-    "CASE "
-    + " ".join(
-        f"WHEN code_module = '{m}' AND code_presentation = '{p}' THEN {g}"
-        for m, runs in PRESENTATION_GROUPS.items()
-        for p, g in runs.items()
-    )
-    + " ELSE NULL END"
-)
-DECILE_CASE = (
-    "CASE imd_band "
-    + " ".join(f"WHEN '{10 * d}-{10 * d + 10}%' THEN {d + 1}" for d in range(10))
-    + " END"
-)
-DEGREE_CASE = (
-    "CASE highest_education "
-    + " ".join(f"WHEN {_quote(k)} THEN {v}" for k, v in DEGREE_FLAGS.items())
-    + " END"
-)
+# Fixed values, stated here once more so that a slip in the library shows.
+GROUP_CASE = """CASE
+  WHEN code_module = 'AAA' AND code_presentation = '2013J' THEN 0
+  WHEN code_module = 'AAA' AND code_presentation = '2014J' THEN 0
+  WHEN code_module = 'BBB' AND code_presentation = '2013B' THEN 1
+  WHEN code_module = 'BBB' AND code_presentation = '2014B' THEN 1
+  WHEN code_module = 'BBB' AND code_presentation = '2013J' THEN 2
+  WHEN code_module = 'BBB' AND code_presentation = '2014J' THEN 2
+  WHEN code_module = 'CCC' AND code_presentation = '2014B' THEN 3
+  WHEN code_module = 'CCC' AND code_presentation = '2014J' THEN 4
+  WHEN code_module = 'DDD' AND code_presentation = '2013B' THEN 5
+  WHEN code_module = 'DDD' AND code_presentation = '2014B' THEN 5
+  WHEN code_module = 'DDD' AND code_presentation = '2013J' THEN 6
+  WHEN code_module = 'DDD' AND code_presentation = '2014J' THEN 6
+  WHEN code_module = 'EEE' AND code_presentation = '2013J' THEN 7
+  WHEN code_module = 'EEE' AND code_presentation = '2014J' THEN 7
+  WHEN code_module = 'EEE' AND code_presentation = '2014B' THEN 8
+  WHEN code_module = 'FFF' AND code_presentation = '2013B' THEN 9
+  WHEN code_module = 'FFF' AND code_presentation = '2014B' THEN 9
+  WHEN code_module = 'FFF' AND code_presentation = '2013J' THEN 10
+  WHEN code_module = 'FFF' AND code_presentation = '2014J' THEN 10
+  WHEN code_module = 'GGG' AND code_presentation = '2013J' THEN 11
+  WHEN code_module = 'GGG' AND code_presentation = '2014J' THEN 11
+  WHEN code_module = 'GGG' AND code_presentation = '2014B' THEN 12
+  END"""
+DECILE_CASE = """CASE imd_band
+  WHEN '0-10%' THEN 1
+  WHEN '10-20%' THEN 2
+  WHEN '20-30%' THEN 3
+  WHEN '30-40%' THEN 4
+  WHEN '40-50%' THEN 5
+  WHEN '50-60%' THEN 6
+  WHEN '60-70%' THEN 7
+  WHEN '70-80%' THEN 8
+  WHEN '80-90%' THEN 9
+  WHEN '90-100%' THEN 10
+  END"""
+DEGREE_CASE = """CASE highest_education
+  WHEN 'No Formal quals' THEN 0
+  WHEN 'Lower Than A Level' THEN 0
+  WHEN 'A Level or Equivalent' THEN 0
+  WHEN 'HE Qualification' THEN 1
+  WHEN 'Post Graduate Qualification' THEN 1
+  END"""
 LABEL_CASE = "CASE WHEN final_result = 'Distinction' THEN 1 ELSE 0 END"
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -309,9 +332,55 @@ FROM (
                    / count(*) FILTER (distinction = k) END AS r,
          count(*) FILTER (distinction = k) AS support
   FROM ruled, (VALUES (0), (1)) v(k) WHERE pres_groups IS NOT NULL GROUP BY pres_groups, k
+  HAVING count(*) FILTER (prediction = k OR distinction = k) > 0
 )"""
 
 
+def _reference(name: str, child: str, parent: str, columns: str) -> str:
+    names = columns.split(", ")
+    same = " AND ".join(f"p.{c} = c.{c}" for c in names)
+    there = " AND ".join(f"c.{c} IS NOT NULL" for c in names)
+    key = " || '-' || ".join(f"c.{c}" for c in names)
+    return (
+        f"SELECT '{name}' AS reference, CAST({key} AS VARCHAR) AS key, count(*) AS n_rows FROM {child} c "
+        f"WHERE {there} AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {same}) GROUP BY ALL"
+    )
+
+
+REFERENCE_TABLES = {
+    "p_courses": "SELECT DISTINCT code_module, code_presentation FROM runs "
+    "WHERE code_module <> 'GGG' OR code_presentation LIKE '2013%'",
+    "p_info": "SELECT * FROM runs WHERE o_orderkey % 5 <> 0",
+    "p_vle": """
+        SELECT p_partkey AS id_site, repeat(chr(65 + CAST(p_partkey % 8 AS INTEGER)), 3) AS code_module,
+               (CASE WHEN p_partkey % 2 = 0 THEN '2013' ELSE '2014' END)
+                 || (CASE WHEN (p_partkey // 8) % 2 = 0 THEN 'B' ELSE 'J' END) AS code_presentation
+        FROM part WHERE p_partkey % 9 <> 0""",
+    "placed_scores": "SELECT * FROM scores JOIN assess USING (id_assessment)",
+    "registered": """
+        SELECT id_student, code_module,
+               CASE WHEN o_orderstatus = 'P' THEN NULL WHEN year(o_orderdate) = 1998 THEN '2015B'
+                    ELSE code_presentation END AS code_presentation
+        FROM runs""",
+}
+RUN = "code_module, code_presentation"
+REFERENCES = " UNION ALL ".join(
+    _reference(*row)
+    for row in (
+        ("studentInfo(code_module,code_presentation)->courses", "p_info", "p_courses", RUN),
+        ("assessments(code_module,code_presentation)->courses", "assess", "p_courses", RUN),
+        ("vle(code_module,code_presentation)->courses", "p_vle", "p_courses", RUN),
+        ("studentVle(id_student,code_module,code_presentation)->studentInfo", "clicks", "p_info", KEYS),
+        ("studentVle(id_site)->vle", "clicks", "p_vle", "id_site"),
+        ("studentVle(code_module,code_presentation)->courses", "clicks", "p_courses", RUN),
+        ("studentAssessment(id_student,code_module,code_presentation)->studentInfo", "placed_scores", "p_info", KEYS),
+        ("studentAssessment(id_assessment)->assessments", "scores", "assess", "id_assessment"),
+        ("studentRegistration(id_student,code_module,code_presentation)->studentInfo", "registered", "p_info", KEYS),
+        ("studentRegistration(code_module,code_presentation)->courses", "registered", "p_courses", RUN),
+    )
+)
+
+
 def build() -> dict[str, str]:
     info_columns = ", ".join(f.name for f in STUDENT_INFO.fields)
     shapes = " UNION ALL ".join(
@@ -364,6 +433,14 @@ def build() -> dict[str, str]:
             f"SELECT {KEYS}, count(*) AS n_rows FROM scores JOIN assess USING (id_assessment) "
             f"WHERE ({KEYS}) NOT IN (SELECT ({KEYS}) FROM info) GROUP BY {KEYS}",
         ),
+        "key_checks": _with(
+            ["info", "assess"],
+            "SELECT 'studentInfo' AS table_name, id_student || '-' || code_module || '-' || code_presentation AS key, "
+            f"count(*) AS n_rows, 'duplicate key' AS problem FROM info GROUP BY {KEYS} HAVING count(*) > 1 "
+            "UNION ALL SELECT 'assessments', 'NULL', count(*), 'null key' FROM assess WHERE id_assessment % 50 = 0 "
+            "HAVING count(*) > 0",
+        ),
+        "reference_checks": _with(["runs", "clicks", "scores", "assess"], REFERENCES, REFERENCE_TABLES),
         "overlong_strings": _with(["info"], " UNION ALL ".join(lengths)),
         "overlong_customers": "SELECT c_custkey FROM customer WHERE length(c_name) > 45 OR length(c_mktsegment) > 9",
         "enrol_keys": _with(
@@ -436,6 +513,16 @@ def build() -> dict[str, str]:
             f"SELECT {numbered}, {PIVOT} FROM info i LEFT JOIN type_totals y USING ({KEYS})",
         ),
         "click_moments": _with(["clicks"], f"SELECT {KEYS}, {ROUNDED_MOMENTS} FROM moments", MOMENTS),
+        "totals_null_keys": _with(
+            ["clicks"],
+            "SELECT CASE WHEN id_site % 5 <> 0 THEN id_student END AS id_student, code_module, code_presentation, "
+            "CAST(sum(sum_click) AS BIGINT) AS total_clicks FROM clicks GROUP BY 1, 2, 3",
+        ),
+        "moments_null_keys": _with(
+            ["clicks"],
+            f"SELECT {KEYS}, {ROUNDED_MOMENTS} FROM moments",
+            {"named": "SELECT * FROM clicks WHERE id_site % 5 <> 0", **_moment_ctes("named", KEYS)},
+        ),
         "moments_events": _with(
             ["user_clicks"],
             f"SELECT user_id, {ROUNDED_MOMENTS} FROM moments",
@@ -469,6 +556,28 @@ def build() -> dict[str, str]:
             + f" FROM first f LEFT JOIN moments m USING ({KEYS})",
             MOMENTS,
         ),
+        "missing_totals": _with(
+            ["info", "clicks"],
+            "SELECT enrolment_no, coalesce(n, 0)::DOUBLE AS total_clicks, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS "
+            "total_clicks_missing FROM (SELECT i.enrolment_no, CASE WHEN t.matched = 1 THEN t.n ELSE 0 END AS n "
+            f"FROM info i LEFT JOIN (SELECT {KEYS}, 1 AS matched, sum(sum_click) FILTER (id_site % 3 = 0) AS n "
+            f"FROM clicks GROUP BY {KEYS}) t USING ({KEYS}))",
+        ),
+        "model_supports": _with(
+            ["first"],
+            "SELECT model, distinction AS class, count(*) FILTER (t = 0) AS n_train, count(*) FILTER (t = 1) AS n_test "
+            f"FROM (SELECT 'all' AS model, distinction, {split} AS t FROM first UNION ALL "
+            f"SELECT CAST(pres_groups AS VARCHAR), distinction, {split} FROM first WHERE pres_groups BETWEEN 1 AND 12) "
+            "GROUP BY model, distinction",
+        ),
+        "model_features": _with(
+            ["first", "type_totals"],
+            "SELECT CAST(pres_groups AS VARCHAR) AS model, feature FROM (UNPIVOT flags ON COLUMNS(* EXCLUDE (pres_groups)) "
+            "INTO NAME feature VALUE used) WHERE used = 1 UNION ALL SELECT 'all', unnest("
+            + _list(INPUTS)
+            + ")",
+            {**matrix, "flags": f"SELECT pres_groups, {kept} FROM matrix WHERE pres_groups BETWEEN 1 AND 12 GROUP BY pres_groups"},
+        ),
         "hash_split": _with(["info"], f"SELECT enrolment_no, {split} AS in_test FROM info"),
         "profile_numeric": _with(
             ["info", "totals", "mean_scores"], " UNION ALL ".join(_profile_row(c) for c in profiled), wide
@@ -503,4 +612,13 @@ def build() -> dict[str, str]:
             + " FROM ruled GROUP BY pres_groups",
         ),
         "class_report": _with(["ruled"], REPORT, {"classes": CLASSES}),
+        "one_class_report": _with(
+            ["ruled"],
+            REPORT.replace("ruled", "single"),
+            {
+                "single": "SELECT pres_groups, CASE WHEN pres_groups < 6 THEN 0 ELSE distinction END AS distinction, "
+                "CASE WHEN pres_groups < 6 THEN 0 ELSE prediction END AS prediction FROM ruled",
+                "classes": CLASSES.replace("ruled", "single"),
+            },
+        ),
     }

@@ -17,13 +17,11 @@ from cohortpulse.models.importance import top_gains
 from cohortpulse.models.split import in_test
 from cohortpulse.models.train import (
     MAY_BE_MISSING,
-    POOLED,
-    Settings,
     feature_columns,
-    fit_pooled,
     fit_study,
-    stage,
+    kept_features,
     study_report,
+    supports,
 )
 from cohortpulse.operators import clicks as C
 from cohortpulse.operators import cohort as H
@@ -45,15 +43,13 @@ from cohortpulse.schemas import (
 )
 from cohortpulse.session import shared_folder
 from cohortpulse.sources.readers import read_base_csv
-from cohortpulse.sources.sinks import write_and_read, write_features
+from cohortpulse.sources.sinks import temporary_folder, temporary_table, write_features
 from cohortpulse.sources.stand_ins import StandIns
 
 NUMBER = "enrolment_no"
 ORDER = ("code_presentation", NUMBER)
 CLICKS = [click_column(t) for t in ACTIVITY_TYPES]
 PROFILED = ["studied_credits", "number_of_prev_attempts", "total_clicks", "avg_score"]
-# Boosting rounds of the two registered model queries; the library default is 100.
-QUERY_SETTINGS = Settings(rounds=10)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -103,16 +99,19 @@ def default_columns(t: StandIns) -> DataFrame:
 
 @query
 def csv_load(t: StandIns) -> DataFrame:
-    """Enrolments written as CSV with other headers, in another column order and
-    with an extra column, then loaded into the typed table."""
+    """Enrolments written as CSV with other headers and an extra column, half of them
+    in one order of columns and half in another, then loaded into the typed table."""
     path = f"{shared_folder(t.spark)}/csv-{uuid.uuid4().hex}"
     source = t.student_info.select(
+        NUMBER,
         F.lit("x").alias("extra"),
         F.col("number_of_prev_attempts").alias("num_of_prev_attempts"),
         *[f.name for f in STUDENT_INFO.fields if f.name != "number_of_prev_attempts"],
     )
-    source.write.option("header", True).option("nullValue", "?").csv(path)
-    return read_base_csv(t.spark, path, "studentInfo")
+    for part, columns in ((0, source.columns[1:]), (1, source.columns[:0:-1])):
+        half = source.where(F.col(NUMBER) % 2 == part).select(*columns)
+        half.write.option("header", True).option("nullValue", "?").csv(f"{path}/{part}")
+    return read_base_csv(t.spark, [f"{path}/0", f"{path}/1"], "studentInfo")
 
 
 @query
@@ -144,6 +143,36 @@ def fk_orphans(t: StandIns) -> DataFrame:
     return Q.orphans(scores, t.enrolments, ENROLMENT_KEYS)
 
 
+@query
+def key_checks(t: StandIns) -> DataFrame:
+    """All declared primary keys; some assessments have no identifier."""
+    known = F.when(F.col("id_assessment") % 50 != 0, F.col("id_assessment"))
+    return Q.check_keys(
+        {
+            "courses": t.courses,
+            "studentInfo": t.enrolments,
+            "assessments": t.assessments.withColumn("id_assessment", known),
+            "vle": t.vle,
+        }
+    )
+
+
+@query
+def reference_checks(t: StandIns) -> DataFrame:
+    """All declared references, with gaps in the tables referred to."""
+    return Q.check_references(
+        {
+            "courses": t.courses.where("code_module <> 'GGG' or code_presentation like '2013%'"),
+            "studentInfo": t.enrolments.where(F.col(NUMBER) % 5 != 0),
+            "assessments": t.assessments,
+            "vle": t.vle_runs.where("id_site % 9 <> 0"),
+            "studentVle": t.student_vle,
+            "studentAssessment": t.student_assessment,
+            "studentRegistration": t.student_registration,
+        }
+    )
+
+
 @query
 def overlong_strings(t: StandIns) -> DataFrame:
     limits = length_limits(STUDENT_INFO)
@@ -303,6 +332,23 @@ def engagement_features(t: StandIns) -> DataFrame:
     return _rounded(joined, *MOMENT_COLUMNS)
 
 
+def _clicks_without_student(t: StandIns) -> DataFrame:
+    """Clickstream in which the student is unknown at every fifth resource."""
+    return t.student_vle.withColumn("id_student", F.when(F.col("id_site") % 5 != 0, F.col("id_student")))
+
+
+@query
+def totals_null_keys(t: StandIns) -> DataFrame:
+    """Totals keep a group whose key is null in part."""
+    return C.total_clicks(_clicks_without_student(t))
+
+
+@query
+def moments_null_keys(t: StandIns) -> DataFrame:
+    """Moments skip it."""
+    return _rounded(M.click_moments(_clicks_without_student(t)), *MOMENT_COLUMNS)
+
+
 # --- Modelling frame ----------------------------------------------------------
 
 
@@ -326,6 +372,26 @@ def missing_indicators(t: StandIns) -> DataFrame:
     return _rounded(filled, *MOMENT_COLUMNS)
 
 
+@query
+def missing_totals(t: StandIns) -> DataFrame:
+    """Click totals that are null, as all their counts are, filled and flagged."""
+    clicks = t.student_vle.withColumn("sum_click", F.when(F.col("id_site") % 3 == 0, F.col("sum_click")))
+    info = C.attach_totals(t.enrolments, C.total_clicks(clicks), unique_info=False)
+    return E.fill_missing(info.select(NUMBER, "total_clicks"), ["total_clicks"])
+
+
+@query
+def model_supports(t: StandIns) -> DataFrame:
+    """Training and test rows of every model and class."""
+    return supports(described_first_attempts(t.student_info, ORDER))
+
+
+@query
+def model_features(t: StandIns) -> DataFrame:
+    """Inputs that every model keeps."""
+    return kept_features(_modelling(t))
+
+
 @query
 def hash_split(t: StandIns) -> DataFrame:
     return t.enrolments.select(NUMBER, in_test().cast("int").alias("in_test"))
@@ -348,7 +414,8 @@ def profile_numeric(t: StandIns) -> DataFrame:
     scores = R.average_scores(t.student_assessment, t.assessments)
     info = C.attach_totals(t.student_info, totals, unique_info=False)
     wide = C.left_join_totals(info, scores, ENROLMENT_KEYS, unique_info=False).select(*PROFILED)
-    profile = P.profile_numeric(write_and_read(wide, "profiled"), PROFILED)
+    with temporary_table(wide, "profiled") as table:
+        profile = P.profile_numeric(table, PROFILED)
     return _rounded(profile, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -405,14 +472,31 @@ def class_report(t: StandIns) -> DataFrame:
     return _rounded(classification_report(mapped, by=["pres_groups"]), "precision", "recall", "f1")
 
 
-# --- Models: no SQL twin ------------------------------------------------------
+@query
+def one_class_report(t: StandIns) -> DataFrame:
+    """Reports of groups of which the first six hold and predict a single class."""
+    few = F.col("pres_groups") < 6
+    scored = _rule_scored(t).where(F.col("pres_groups").isNotNull())
+    single = scored.withColumns({c: F.when(few, 0).otherwise(F.col(c)) for c in ("distinction", "prediction")})
+    return _rounded(classification_report(single, by=["pres_groups"]), "precision", "recall", "f1")
+
+
+# --- Models: no SQL twin. Their results are a few rows per model; they are computed
+# here, so that the staged rows and saved models can go. --------------------------
 
 
 @query
 def gbt_group_report(t: StandIns) -> DataFrame:
-    return study_report(fit_study(_modelling(t), settings=QUERY_SETTINGS))
+    """Reports of the twelve group models and the pooled one."""
+    with temporary_folder(t.spark, "study") as path:
+        report = study_report(fit_study(_modelling(t), path=path))
+        return t.spark.createDataFrame(report.collect(), report.schema)
 
 
 @query
 def gbt_gain_top15(t: StandIns) -> DataFrame:
-    return top_gains([fit_pooled(stage(_modelling(t)), QUERY_SETTINGS)]).where(F.col("model") == POOLED)
+    """The features with the highest gain in each of these models."""
+    with temporary_folder(t.spark, "study") as path:
+        models = fit_study(_modelling(t), path=f"{path}/rows")
+        gains = top_gains(models, path=path)
+        return t.spark.createDataFrame(gains.collect(), gains.schema)

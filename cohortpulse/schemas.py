@@ -168,22 +168,48 @@ ACTIVITY_TYPES = [
     "folder",
 ]
 
-# Module -> presentation -> group. February (B) and October (J) runs of a module
+# Module and presentation -> group: February (B) and October (J) runs of a module
 # form one group each, over both years.
-PRESENTATION_GROUPS: dict[str, dict[str, int]] = {
-    "AAA": {"2013J": 0, "2014J": 0},
-    "BBB": {"2013B": 1, "2014B": 1, "2013J": 2, "2014J": 2},
-    "CCC": {"2014B": 3, "2014J": 4},
-    "DDD": {"2013B": 5, "2014B": 5, "2013J": 6, "2014J": 6},
-    "EEE": {"2013J": 7, "2014J": 7, "2014B": 8},
-    "FFF": {"2013B": 9, "2014B": 9, "2013J": 10, "2014J": 10},
-    "GGG": {"2013J": 11, "2014J": 11, "2014B": 12},
+PRESENTATION_GROUPS: dict[str, int] = {
+    "AAA-2013J": 0,
+    "AAA-2014J": 0,
+    "BBB-2013B": 1,
+    "BBB-2014B": 1,
+    "BBB-2013J": 2,
+    "BBB-2014J": 2,
+    "CCC-2014B": 3,
+    "CCC-2014J": 4,
+    "DDD-2013B": 5,
+    "DDD-2014B": 5,
+    "DDD-2013J": 6,
+    "DDD-2014J": 6,
+    "EEE-2013J": 7,
+    "EEE-2014J": 7,
+    "EEE-2014B": 8,
+    "FFF-2013B": 9,
+    "FFF-2014B": 9,
+    "FFF-2013J": 10,
+    "FFF-2014J": 10,
+    "GGG-2013J": 11,
+    "GGG-2014J": 11,
+    "GGG-2014B": 12,
 }
 GROUPS = list(range(13))
 MODEL_GROUPS = list(range(1, 13))
 
-# '0-10%' -> 1 up to '90-100%' -> 10; every other spelling is unmapped.
-DEPRIVATION_DECILES: dict[str, int] = {f"{10 * d}-{10 * d + 10}%": d + 1 for d in range(10)}
+# Every other spelling of a band is unmapped.
+DEPRIVATION_DECILES: dict[str, int] = {
+    "0-10%": 1,
+    "10-20%": 2,
+    "20-30%": 3,
+    "30-40%": 4,
+    "40-50%": 5,
+    "50-60%": 6,
+    "60-70%": 7,
+    "70-80%": 8,
+    "80-90%": 9,
+    "90-100%": 10,
+}
 
 DEGREE_FLAGS: dict[str, int] = {
     "No Formal quals": 0,

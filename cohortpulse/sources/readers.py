@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     schema: T.StructType,
     renames: Mapping[str, str] | None = None,
     null_value: str = "",
@@ -32,13 +33,27 @@ def read_csv(
     """Typed table from CSV files whose headers differ from the schema.
 
     Columns are matched by header name after ``renames``, not by position;
-    extra columns are dropped and a missing one is an error. With ``strict`` a
-    malformed value stops the job, without it becomes null.
+    extra columns are dropped and a missing one is an error. Each path of a list has
+    a header of its own; files below one path must agree on theirs, and the job
+    stops at one that does not. With ``strict`` a malformed value or a row with too
+    few or too many fields stops the job too; without it they become null or are cut.
     """
+    paths = [path] if isinstance(path, str) else list(path)
+    return reduce(DataFrame.unionByName, [_read_one_csv(spark, p, schema, renames, null_value, strict) for p in paths])
+
+
+def _read_one_csv(
+    spark: SparkSession, path: str, schema: T.StructType, renames: Mapping[str, str] | None, null_value: str, strict: bool
+) -> DataFrame:
+    reader = spark.read.option("header", True).option("nullValue", null_value)
+    header = reader.option("inferSchema", False).csv(path).schema
+    # every file's header is held against that of the first, and every row's fields
+    # are counted, for which the parser has to see all columns
     raw = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("nullValue", null_value)
+        reader.schema(header)
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .csv(path)
     )
     found = raw.withColumnsRenamed(
@@ -56,7 +71,7 @@ def read_csv(
 
 
 def read_base_csv(
-    spark: SparkSession, path: str, table: str, null_value: str = "?", strict: bool = True
+    spark: SparkSession, path: str | Sequence[str], table: str, null_value: str = "?", strict: bool = True
 ) -> DataFrame:
     """One of the seven base tables from CSV, with its known header changes."""
     return read_csv(spark, path, TABLES[table], HEADER_RENAMES.get(table), null_value, strict)

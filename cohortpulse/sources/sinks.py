@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cohortpulse.session import shared_folder
 
@@ -20,16 +22,41 @@ def write_features(df: DataFrame, path: str, partition_by: str = "pres_groups")
     return path
 
 
-def write_and_read(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Materialise an intermediate in the shared folder.
+def write_and_read(
+    df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None
+) -> DataFrame:
+    """Materialise an intermediate, in the shared folder unless ``path`` is given.
 
     For a table that several jobs read: it is computed once, and it outlives
     the executors that made it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if partition_by:
         write_features(df, path, partition_by)
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the store that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path in the shared folder that goes when its consumer is done."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove_folder(spark, path)
+
+
+@contextmanager
+def temporary_table(df: DataFrame, name: str, partition_by: str | None = None) -> Iterator[DataFrame]:
+    """An intermediate that several jobs read, removed after the block."""
+    with temporary_folder(df.sparkSession, name) as path:
+        yield write_and_read(df, name, partition_by, path)

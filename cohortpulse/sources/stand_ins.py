@@ -124,6 +124,31 @@ class StandIns:
             F.when(size < 50, _pick(ACTIVITY_TYPES, "p_size % 20")).alias("activity_type"),
         )
 
+    @property
+    def vle_runs(self) -> DataFrame:
+        """Resources with the module run they belong to; no run has module HHH."""
+        key = F.col("p_partkey")
+        return self._read("part").select(
+            key.alias("id_site"),
+            _module((key % 8).cast("int")).alias("code_module"),
+            _run(key % 2 == 0, F.floor(key / 8) % 2 == 0).alias("code_presentation"),
+        )
+
+    @property
+    def student_registration(self) -> DataFrame:
+        """Registrations of the orders: null presentations, and runs of no course."""
+        status = F.col("o_orderstatus")
+        return self._orders().select(
+            "code_module",
+            F.when(status == "P", None)
+            .when(F.year("o_orderdate") == 1998, "2015B")
+            .otherwise(F.col("code_presentation"))
+            .alias("code_presentation"),
+            "id_student",
+            (F.dayofyear("o_orderdate") - 200).alias("date_registration"),
+            F.when(status == "F", F.dayofyear("o_orderdate")).alias("date_unregistration"),
+        )
+
     @property
     def student_vle(self) -> DataFrame:
         """Clickstream: one row per line item, days counted from the order."""

@@ -19,7 +19,7 @@ def test_keys_are_null_as_soon_as_one_part_is(spark):
 
 
 def test_presentation_group_covers_22_runs_and_13_groups(spark):
-    pairs = [(m, f"{y}{h}") for m in S.PRESENTATION_GROUPS for y in (2013, 2014) for h in "BJ"]
+    pairs = [(m, f"{y}{h}") for m in sorted({k[:3] for k in S.PRESENTATION_GROUPS}) for y in (2013, 2014) for h in "BJ"]
     df = spark.createDataFrame([*pairs, ("AAA", None), ("ZZZ", "2013J")], "code_module string, code_presentation string")
     got = {(r[0], r[1]): r[2] for r in df.withColumn("g", K.presentation_group()).collect()}
     mapped = {k: v for k, v in got.items() if v is not None}
