@@ -67,3 +67,22 @@ def test_overlong(spark):
     assert rows(Q.overlong(df, limits)) == [("disability", 3, 0, 1), ("gender", 3, 1, 6)]
     assert [r.gender for r in Q.overlong_rows(df, limits).collect()] == ["FEMALE"]
     assert rows(Q.overlong(df.limit(0), {"gender": 3})) == [("gender", 3, 0, None)]
+
+
+def test_all_declared_keys_and_references(spark):
+    run = "code_module string, code_presentation string"
+    info = spark.createDataFrame([(1, "A", "x"), (1, "A", "x"), (None, "A", "x"), (2, "A", None)], f"id_student int, {run}")
+    courses = spark.createDataFrame([("A", "x"), ("B", "x")], run)
+    tests = spark.createDataFrame([(7, "A", "x"), (8, "C", "x")], f"id_assessment int, {run}")
+    scores = spark.createDataFrame([(1, 7), (5, 7), (1, 9), (None, 8)], "id_student int, id_assessment int")
+    tables = {"courses": courses, "studentInfo": info, "assessments": tests, "studentAssessment": scores}
+    assert rows(Q.check_keys(tables)) == [
+        ("studentInfo", "1-A-x", 2, "duplicate key"),
+        ("studentInfo", "2-A-NULL", 1, "null key"),
+        ("studentInfo", "NULL-A-x", 1, "null key"),
+    ]
+    assert rows(Q.check_references(tables)) == [
+        ("assessments(code_module,code_presentation)->courses", "C-x", 1),
+        ("studentAssessment(id_assessment)->assessments", "9", 1),
+        ("studentAssessment(id_student,code_module,code_presentation)->studentInfo", "5-A-x", 1),
+    ]

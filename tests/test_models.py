@@ -75,6 +75,28 @@ def test_report(spark):
     assert rows(V.confusion(df)) == [(4, 2, 1, 3)]
 
 
+def test_report_with_one_class(spark):
+    df = spark.createDataFrame([(0, 0)] * 3, "distinction int, prediction int")
+    got = report(df)
+    assert got.keys() == {"0", "accuracy", "macro avg", "weighted avg"}
+    assert set(got.values()) == {(1.0, 1.0, 1.0, 3)}
+
+
+def test_threshold_of_the_settings_is_used(spark, frame):
+    fitted = T.fit_pooled(T.stage(frame), T.Settings(rounds=2, threshold=0.0))
+    assert T.score(fitted).where("prediction = 0").count() == 0
+    assert T.score(fitted, 2.0).where("prediction = 1").count() == 0
+
+
+def test_every_missing_input_is_flagged(spark, frame):
+    holes = frame.withColumn("total_clicks_quiz", F.when(F.col("id_student") % 7 != 0, F.col("total_clicks_quiz")))
+    prepared, features = T.prepare(holes, T.feature_columns())
+    assert {"total_clicks_quiz_missing", "dep_dec_missing"} <= set(features)
+    assert "studied_credits_missing" not in features
+    flagged = prepared.where("total_clicks_quiz_missing = 1")
+    assert flagged.count() == holes.where("total_clicks_quiz is null").count() and flagged.where("total_clicks_quiz <> 0").count() == 0
+
+
 def test_report_without_positive_predictions(spark):
     df = spark.createDataFrame([(1, 0), (0, 0)], "distinction int, prediction int")
     assert report(df)["1"] == (0.0, 0.0, 0.0, 1)
@@ -88,13 +110,18 @@ def test_threshold_is_inclusive(spark):
 def test_study(spark, frame):
     models = T.fit_study(frame, groups=[0, 1, 2], settings=QUICK, parallelism=2)
     # Group 0 is absent and group 2 has a single class.
-    assert [m.name for m in models] == ["1", T.POOLED]
+    assert [m.name for m in models] == ["0", "1", "2", T.POOLED]
+    assert models[0].model is models[2].model is None
+    study, models = models, [m for m in models if m.model is not None]
     assert "total_clicks_forumng" not in models[0].features
     assert "total_clicks_forumng" in models[1].features
     assert models[0].model.getMaxDepth() == 3 and models[0].model.getNumTrees == QUICK.rounds
 
-    result = T.study_report(models)
-    got = {(r.model, r["class"]): r for r in result.collect()}
+    result = T.study_report(study)
+    untrained = {r.model: r.support for r in result.collect() if r["class"] == T.UNTRAINED}
+    assert untrained.keys() == {"0", "2"} and untrained["0"] == 0 and untrained["2"] > 0
+    assert result.where("decision = 'default'").select("model").distinct().count() == 2
+    got = {(r.model, r["class"]): r for r in result.where("decision = 'threshold'").collect()}
     assert got["1", "1"].f1 > 0.7 and got[T.POOLED, "accuracy"].f1 > 0.8
 
     scored = T.score(models[1])
@@ -102,7 +129,7 @@ def test_study(spark, frame):
     assert missing > 0 and scored.count() == models[1].test.count()
     assert scored.where("probability_1 < 0 or probability_1 > 1 or probability_1 is null").count() == 0
 
-    gains = I.top_gains(models, n=3)
+    gains = I.top_gains(study, n=3)
     first = {r.model: r.feature for r in gains.where("place = 1").collect()}
     assert first["1"] == "click_time_variance"
     assert gains.where("place > 3").count() == 0
@@ -127,6 +154,7 @@ def test_weights_raise_recall(spark, frame):
 
     def recall(weight):
         fitted = T.fit_pooled(staged, T.Settings(rounds=2, pooled_weight=weight))
-        return {r["class"]: r.recall for r in T.study_report([fitted]).collect()}["1"]
+        report = T.study_report([fitted]).where("decision = 'threshold'")
+        return {r["class"]: r.recall for r in report.collect()}["1"]
 
     assert recall(9.0) >= recall(0.1)

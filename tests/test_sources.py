@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -65,12 +66,44 @@ def test_sink_prunes_partitions(spark, tmp_path):
 def test_shared_folder_without_the_setting(tmp_path):
     made = []
     context = SimpleNamespace(
-        getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append
+        getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append, master="local[2]"
     )
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
     assert shared_folder(session) == shared_folder(session) == made[0] and len(made) == 1
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+
+
+def test_csv_files_that_disagree(spark, tmp_path):
+    def folder(name, **files):
+        (tmp_path / name).mkdir()
+        for file, text in files.items():
+            (tmp_path / name / f"{file}.csv").write_text(text)
+        return str(tmp_path / name)
+
+    head = "code_module,code_presentation,module_presentation_length"
+    turned = "code_presentation,code_module,module_presentation_length"
+    one, two = folder("one", a=f"{head}\nAAA,2013J,10\n"), folder("two", a=f"{turned}\n2014J,BBB,20\n")
+    assert rows(R.read_base_csv(spark, [one, two], "courses")) == [("AAA", "2013J", 10), ("BBB", "2014J", 20)]
+    mixed = folder("mixed", a=f"{head}\nAAA,2013J,10\n", b=f"{turned}\n2014J,BBB,20\n")
+    for path in (mixed, folder("short", a=f"{head},x\nAAA,2013J\n"), folder("long", a=f"{head}\nAAA,2013J,10,7\n")):
+        with pytest.raises(Exception):
+            R.read_base_csv(spark, path, "courses").collect()
+
+
+def test_temporary_tables_go(spark):
+    with W.temporary_table(spark.range(5), "gone") as table:
+        path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert table.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.createDataFrame([(1, "a.b")], "k int, `a.b` string")
