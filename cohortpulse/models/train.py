@@ -190,7 +190,7 @@ def fit_groups(
     staged: DataFrame,
     groups: Sequence[int] = MODEL_GROUPS,
     settings: Settings = Settings(),
-    parallelism: int = 4,
+    parallelism: int = 12,
 ) -> list[Fitted]:
     """One model per presentation group, on the columns used in that group.
 
@@ -214,12 +214,17 @@ def fit_study(
     modelling: DataFrame,
     groups: Sequence[int] = MODEL_GROUPS,
     settings: Settings = Settings(),
-    parallelism: int = 4,
+    parallelism: int = 12,
     path: str | None = None,
 ) -> list[Fitted]:
-    """All group models followed by the pooled one; ``path`` is where rows are staged."""
+    """All group models followed by the pooled one; ``path`` is where rows are staged.
+
+    A boosting round is a few short jobs, so models are trained side by side.
+    """
     staged = stage(modelling, path)
-    return [*fit_groups(staged, groups, settings, parallelism), fit_pooled(staged, settings)]
+    with ThreadPoolExecutor(1) as beside:
+        pooled = beside.submit(fit_pooled, staged, settings)
+        return [*fit_groups(staged, groups, settings, parallelism), pooled.result()]
 
 
 UNTRAINED = "not trained: one class"

@@ -117,14 +117,16 @@ def csv_load(t: StandIns) -> DataFrame:
 @query
 def feature_sink(t: StandIns) -> DataFrame:
     """Features written by group and read back."""
-    path = f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
     wide = C.attach_totals(
         H.with_presentation_group(t.enrolments), C.total_clicks(t.student_vle), unique_info=False
     ).select(NUMBER, "total_clicks", "pres_groups")
-    written = t.spark.read.schema(wide.schema).parquet(write_features(wide, path))
-    return written.groupBy("pres_groups").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("total_clicks").alias("n_clicks")
-    )
+    with temporary_folder(t.spark, "sink") as path:
+        written = t.spark.read.schema(wide.schema).parquet(write_features(wide, path))
+        counted = written.groupBy("pres_groups").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum("total_clicks").alias("n_clicks")
+        )
+        # a row per group, so that the folder can go
+        return t.spark.createDataFrame(counted.collect(), counted.schema)
 
 
 # --- Constraints --------------------------------------------------------------

@@ -7,11 +7,14 @@ from compare import connect, differences
 from conftest import executed_plan
 
 import __spark_entry__ as entry_point
+from cohortpulse.plans import oracles
+from cohortpulse.plans.queries import REGISTRY
 from cohortpulse.sources.stand_ins import StandIns
 
 FOLDER = "/root/testdata/sf0.001"
-TWINS = entry_point.oracle_sql()
-QUERIES = entry_point.queries()
+# The optional training-data operators have tests of their own.
+TWINS = oracles.build()
+QUERIES = REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +32,11 @@ def test_twin(spark, db, name):
     assert differences(QUERIES[name](spark, FOLDER), TWINS[name], db) == []
 
 
+def test_entry_registers_them():
+    assert QUERIES.keys() <= entry_point.queries().keys()
+    assert TWINS.items() <= entry_point.oracle_sql().items()
+
+
 def test_entry(spark):
     df = entry_point.entry(spark)
     assert df.count() == 1500 and "click_time_variance" in df.columns
