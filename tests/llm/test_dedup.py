@@ -118,7 +118,7 @@ def test_connected_follows_long_chains(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 102, 103: 102}
 
 
-@pytest.mark.parametrize("many", [768, 1])
+@pytest.mark.parametrize("many", [4096, 1])
 def test_repeated_passages(edge, many):
     got = suffixes.without_repeats(edge, many=many).select("doc_id", "n_removed", "n_spans", F.sha2("remaining", 256))
     assert sorted_rows(got) == sorted(brute.repeats(edge_rows(), suffixes.SPAN), key=key)

@@ -11,7 +11,7 @@ from conftest import PROSE, edge_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortpulse.llm import grace, lm, mixing, quality, tokens, topk
+from cohortpulse.llm import lm, mixing, quality, tokens, topk
 
 VOCABULARY = tokens.vocabulary_path()
 
@@ -235,12 +235,3 @@ def test_pipeline_of_edge_rows(spark, edge, empty):
     for docs in (edge, empty):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.common.stored(stage(spark, docs, "/root/testdata/sf0.001"), name.replace(" ", "-"))
-
-
-def test_exact_oracle(spark):
-    import duckdb
-
-    folder = "/root/testdata/sf0.001"
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    want = duckdb.sql(grace.SQL).fetchall()
-    assert sorted(tuple(r) for r in grace.op10_grace_dedup(spark, folder).collect()) == sorted(want)
