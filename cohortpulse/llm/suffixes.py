@@ -3,7 +3,8 @@
 A byte goes when a string of ``SPAN`` bytes that covers it also starts anywhere else in
 the corpus. Any two equal strings have equal *anchors*: the ``GRAM``-byte gram with the
 smallest hash among their grams, at the same offset. So suffixes are sorted only at
-anchors, about two in every 337 bytes, and only where an anchor's gram occurs twice.
+anchors, about two in every 337 bytes, and only where an anchor's gram occurs twice. An
+anchor's surroundings reach as far as the strings whose smallest hash it has.
 
 *Sort.* The suffixes to the right of equal anchors, and those to the left read
 backwards, are each merge-sorted. Prefix sums of a polynomial hash give the hash of any
@@ -20,8 +21,9 @@ suffix with a count, known by a 128-bit BLAKE2 digest. An anchor with more than
 ``MANY`` different surroundings, such as a passage that a third of the documents share,
 is not sorted in one task: its offsets are cut into 7 ranges, each occurrence is keyed
 by the text that all strings of a range share, and three such rounds come down to the
-strings themselves, counted by hash (128 bits) like any large aggregate. Only what
-occurs twice and is not settled goes on to the next round.
+strings themselves, counted by digest (128 bits) like any large aggregate. Only what
+occurs twice and is not settled goes on to the next round; a range is settled when all
+that share its text agree, by 64 more bits, on everything its strings cover.
 
 Null text counts as empty; texts shorter than ``SPAN`` lose nothing. Repeated rows are
 documents of their own and so remove each other's long texts. An empty table gives an
@@ -48,7 +50,7 @@ GRAM = 64
 #: Offsets an anchor can have within a string of SPAN bytes run from 0 to this.
 REACH = SPAN - GRAM
 #: Most different surroundings of an anchor that one task sorts.
-MANY = 768
+MANY = 4096
 #: Ranges that a round cuts offsets into; three rounds reach single offsets.
 CUTS = 7
 #: Anchors whose surroundings are held in memory at a time.
@@ -92,12 +94,14 @@ def _sliding(x: np.ndarray, width: int, reduce: np.ufunc, pad: int) -> np.ndarra
     return reduce(back[: n - width + 1], forth[width - 1 : n])
 
 
-def anchors(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of a text's anchors: grams whose hash is the smallest
-    in some string of ``span`` bytes. Equal smallest hashes are all anchors."""
+def anchors(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and gram hashes of a text's anchors, grams whose hash is the smallest in
+    some string of ``span`` bytes, and the smallest and largest offset they have in such
+    strings. Equal smallest hashes are all anchors."""
     n = len(text)
     if n < span:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none, none
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_values()[np.frombuffer(text, np.uint8)] * up[:n], out=sums[1:])
@@ -110,7 +114,20 @@ def anchors(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray
     padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
     padded[width - 1 : width - 1 + len(least)] = least
     places = np.flatnonzero(_sliding(padded, width, np.maximum, 0) == h)
-    return places, h[places]
+    # strings with one smallest hash are runs; a place anchors those of its run that hold it
+    ends = np.append(np.flatnonzero(least[1:] != least[:-1]), len(least) - 1).tolist()
+    values = least[ends].tolist()
+    low, high, k = [], [], 0
+    for at, value in zip(places.tolist(), h[places].tolist()):
+        while ends[k] < at - width + 1:
+            k += 1
+        j = k
+        while values[j] != value:
+            j += 1
+        first = ends[j - 1] + 1 if j else 0
+        low.append(at - min(ends[j], at))
+        high.append(at - max(first, at - width + 1))
+    return places, h[places], np.array(low, np.int64), np.array(high, np.int64)
 
 
 class Surroundings:
@@ -262,29 +279,28 @@ def _digest(left: int, text: bytes) -> tuple[int, int]:
 
 
 def find_anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Anchors of numbered texts with a digest of the bytes that strings may cover."""
-    reach = span - gram
+    """Anchors of numbered texts with a digest of the bytes that their strings cover."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for row, _, text in rows:
-            places, hashes = anchors(text, span, gram)
-            for at, h in zip(places.tolist(), hashes.view(np.int64).tolist()):
-                begin, end = max(0, at - reach), min(len(text), at + span)
-                yield row, at, h, *_digest(at - begin, text[begin:end]), at - begin, end - at
+            places, hashes, low, high = anchors(text, span, gram)
+            for at, h, a, b in zip(places.tolist(), hashes.view(np.int64).tolist(), low.tolist(), high.tolist()):
+                # the strings it anchors cover these bytes before and after it
+                left, right = b, span - a
+                yield row, at, h, *_digest(left, text[at - left : at + right]), left, right
 
     return map_rows(docs, run, _ANCHORS, _ANCHORS_DDL)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, span: int, reach: int) -> DataFrame:
-    """The surroundings of wanted anchors (row, at, gram, around1, around2, hot)."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", *_CLASS, "hot")).alias("anchors"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The surroundings of wanted anchors (row, at, gram, around1, around2, left, right, hot)."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", *_CLASS, "left", "right", "hot")).alias("anchors"))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for text, found in rows:
             for a in found:
-                at = a["at"]
-                begin = max(0, at - reach)
-                yield a["gram"], a["around1"], a["around2"], at - begin, text[begin : at + span], a["hot"]
+                at, left = a["at"], a["left"]
+                yield a["gram"], a["around1"], a["around2"], left, text[at - left : at + a["right"]], a["hot"]
 
     schema = pa.schema([*[(c, pa.int64()) for c in _CLASS], ("left", pa.int32()), ("around", pa.binary()), ("hot", pa.bool_())])
     joined = docs.join(lists.hint("shuffle_hash"), "row").select("text", "anchors")
@@ -382,25 +398,36 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MA
     with another occurrence cover; ranges of a row may overlap."""
     reach = span - gram
     given = docs.withColumnRenamed(ROW, "row")
-    found = stored(find_anchors(given, span, gram), "anchors")
-    alike = stored(
+    found = _written(find_anchors(given, span, gram), "anchors")
+    alike = _written(
         found.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"), F.first("left").alias("left"), F.first("right").alias("right")),
         "alike",
     )
-    grams = stored(alike.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).filter("times > 1"), "grams")
-    several = grams.filter("kinds > 1").select("gram", (F.col("kinds") > many).alias("hot"))
-    wanted = stored(alike.join(several, "gram").select("one.row", "one.at", *_CLASS, "hot"), "wanted")
-    texts = stored(_texts(given, wanted, span, reach), "surroundings")
+    grams = _written(alike.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "grams")
+    several = grams.select("gram", (F.col("kinds") > many).alias("hot"))
+    wanted = _written(alike.join(several, "gram").select("one.row", "one.at", *_CLASS, "left", "right", "hot"), "wanted")
+    texts = _written(_texts(given, wanted), "surroundings")
     by_gram = texts.filter("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "around1", "around2")
-    parts = [by_gram.mapInArrow(_sorted_covers(span, reach), _COVER_DDL)]
+    parts = [_written(by_gram.mapInArrow(_sorted_covers(span, reach), _COVER_DDL), "sorted")]
     if wanted.filter("hot").limit(1).count():
         parts.append(_counted_covers(texts.filter("hot").drop("hot"), span, reach))
     parts.append(alike.filter("n > 1").select(*_CLASS, F.col("left").alias("before"), F.col("right").alias("after")))
     cover = functools.reduce(DataFrame.union, parts).groupBy(*_CLASS).agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    cover = stored(cover, "cover")
+    cover = _written(cover, "cover")
     return found.join(cover, _CLASS).select("row", (F.col("at") - F.col("before")).alias("begin"), (F.col("at") + F.col("after")).alias("end"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A stored table, after which Spark may delete the shuffle files it came from.
+
+    Spark's cleaner does so when the driver's garbage is collected, which by itself may
+    come long after; the files of all steps together would be several times the input.
+    """
+    out = stored(df, name)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def remaining(text: bytes, ranges: list) -> tuple[bytes, int, int]:
     """What is left of a text without the ranges, bytes removed, and maximal runs."""
     kept, removed, runs, at = [], 0, 0, 0
