@@ -94,7 +94,8 @@ def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Id and bytes of every text, and whether its id is among ``targets`` (doc_id)."""
     named = targets.select("doc_id").filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return given.join(named, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    # the same plan at every size: texts meet their labels in a shuffle, without a sort
+    return given.join(named.hint("shuffle_hash"), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
 def models(docs: DataFrame, targets: DataFrame, vocabulary: str, cells: int = CELLS, size: int = IDS) -> tuple[Bigrams, Bigrams]:
