@@ -65,3 +65,13 @@ def test_members_that_miss_the_first_one(spark, tmp_path):
         docs.append((k, " ".join(words)))
     docs += [(600 + k, " ".join(f"c{j}" for j in range(12 * k, 12 * k + 300))) for k in range(12)]
     assert stage(spark, tmp_path / "d", docs) == left_over(docs)
+
+
+def test_a_dominating_repeated_line_joins_nothing(spark, tmp_path):
+    """Most shingles, counted with repeats, are of one line; the sets are far apart."""
+    line = "all rights reserved by the owners of this very site and its many pages "
+    docs = [(k, line * 120 + " ".join(f"own{k}x{j}" for j in range(90))) for k in range(6)]
+    assert similarity(docs[0][1], docs[1][1]) < 0.2
+    codes = [simhash.fingerprint(t.encode(), 5) for _, t in docs]
+    assert any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in itertools.combinations(codes, 2))
+    assert stage(spark, tmp_path / "d", docs) == list(range(6))
