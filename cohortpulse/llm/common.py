@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortpulse.session import shared_folder
 
-#: Number that marks a row of one scan; see :func:`numbered`.
+#: Number that marks a row; see :func:`with_rows`.
 ROW = "__cohortpulse_row"
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
@@ -33,23 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number, written once with all columns. Another scan may cut
+    files into other partitions, so a number holds only if it is read back."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row number, ``doc_id`` and UTF-8 bytes of each row (null text: empty).
 
     Other columns are left out, whatever their names. The numbers tell repeated
-    rows apart; two scans of a stored table under the same settings agree on them.
+    rows apart. They are those of :func:`with_rows` if ``docs`` has them; others hold
+    for a single scan.
     """
     return docs.select(
-        F.monotonically_increasing_id().alias(ROW),
+        F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW),
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, whose numbers are in ``kept`` (one column ROW)."""
-    with_rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return with_rows.join(kept, ROW, "left_semi").drop(ROW)
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of a table from :func:`with_rows`, all columns but the number, whose
+    numbers are in ``kept`` (one column ROW)."""
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:

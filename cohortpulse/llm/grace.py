@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, WHITESPACE, keep_rows, map_rows, numbered, stored, table
+from cohortpulse.llm.common import ROW, WHITESPACE, keep_rows, map_rows, numbered, stored, table, with_rows
 
 #: Bytes of content that one table holds before it spills or, on the map side, is emptied.
 TABLE_BYTES = 32 << 20
@@ -195,9 +195,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The surviving rows with all their columns; ``docs`` must be a stored table."""
-    _, classes = exact_classes(docs, id_col, text_col)
-    return keep_rows(docs, classes.select(F.col("keep_row").alias(ROW)))
+    """The surviving rows with all their columns."""
+    given = with_rows(docs)
+    _, classes = exact_classes(given, id_col, text_col)
+    return keep_rows(given, classes.select(F.col("keep_row").alias(ROW)))
 
 
 def op10_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, map_rows, stored, table
+from cohortpulse.llm.common import ROW, map_rows, stored, table, with_rows
 from cohortpulse.llm.tokens import encoder, vocabulary_path
 
 BLOCKS = 1024
@@ -110,7 +110,7 @@ def block_tokens(docs: DataFrame, vocabulary: str, source_col: str = "source", b
 def _sourced(docs: DataFrame, source_col: str) -> DataFrame:
     """Row number, id, source and UTF-8 bytes of every row."""
     return docs.select(
-        F.monotonically_increasing_id().alias(ROW),
+        F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW),
         F.col("doc_id").cast("long").alias("doc_id"),
         source_of(source_col).alias("source"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
@@ -149,18 +149,19 @@ def _visits(given: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFr
 def mixture(docs: DataFrame, vocabulary: str, source_col: str = "source", blocks: int = BLOCKS, seed: int = SEED, **target) -> DataFrame:
     """One row per use of a document: ``doc_id, source, pass, position, weight``;
     the mixture is read in ascending ``position``."""
+    docs = with_rows(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", source_col])]))
     given = _sourced(docs, source_col)
     plan = schedule(stored(block_tokens(docs, vocabulary, source_col, blocks, seed), "blocks"), seed=seed, **target)
     return _visits(given.drop("text"), plan, blocks, seed).select("doc_id", "source", "pass", "position", "weight")
 
 
 def mixed(docs: DataFrame, vocabulary: str, source_col: str = "source", blocks: int = BLOCKS, seed: int = SEED, **target) -> DataFrame:
-    """The documents themselves in mixture order, repeated as the passes ask;
-    ``docs`` must be a stored table."""
+    """The documents themselves in mixture order, repeated as the passes ask."""
+    docs = with_rows(docs)
     plan = schedule(stored(block_tokens(docs, vocabulary, source_col, blocks, seed), "blocks"), seed=seed, **target)
     given = docs.select(
-        F.struct("*").alias("whole"),
-        F.monotonically_increasing_id().alias(ROW),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != ROW]).alias("whole"),
+        F.col(ROW),
         F.col("doc_id").cast("long").alias("doc_id"),
         source_of(source_col).alias("source"),
     )

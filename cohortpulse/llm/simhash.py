@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, keep_rows, map_rows, numbered, stored, table
+from cohortpulse.llm.common import ROW, keep_rows, map_rows, numbered, stored, table, with_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -379,7 +379,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_classes(docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
     """``row, root, first`` of each distinct shingle set: its class, which verified
-    links connect, and its first document. ``docs`` must be a stored table."""
+    links connect, and its first document. ``docs`` comes from :func:`with_rows`."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     nodes = set_rows(docs, shingle).groupBy("digest").agg(first, F.min_by("code", "row").alias("code"), F.min_by("keys", "row").alias("keys"))
     nodes = stored(nodes.select(F.col("first.row").alias("node"), "first", "code", "keys"), "sets")
@@ -411,9 +411,10 @@ def similar_classes(docs: DataFrame, shingle: int, similarity: float = SIMILARIT
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class of near copies, the one with the smallest ``doc_id``, with
-    all its columns; ``docs`` must be a stored table."""
-    kept = similar_classes(docs, shingle, similarity).groupBy("root").agg(F.min("first").alias("first"))
-    return keep_rows(docs, kept.select(F.col("first.row").alias(ROW)))
+    all its columns."""
+    given = with_rows(docs)
+    kept = similar_classes(given, shingle, similarity).groupBy("root").agg(F.min("first").alias("first"))
+    return keep_rows(given, kept.select(F.col("first.row").alias(ROW)))
 
 
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:

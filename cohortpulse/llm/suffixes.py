@@ -27,8 +27,7 @@ that share its text agree, by 64 more bits, on everything its strings cover.
 
 Null text counts as empty; texts shorter than ``SPAN`` lose nothing. Repeated rows are
 documents of their own and so remove each other's long texts. An empty table gives an
-empty result; other columns are ignored. ``docs`` must be a stored table, as rows are
-numbered in several scans of it.
+empty result; other columns are ignored. Rows are numbered once, in a written table.
 """
 
 from __future__ import annotations
@@ -447,7 +446,7 @@ def remaining(text: bytes, ranges: list) -> tuple[bytes, int, int]:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``row, doc_id, remaining, n_removed, n_spans`` of every row; ``remaining`` is
     the bytes that stay, which need not be UTF-8 where a cut splits a character."""
-    given = numbered(docs, id_col, text_col)
+    given = stored(numbered(docs, id_col, text_col), "rows")
     ranges = repeated(given, span, gram, many).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
