@@ -20,10 +20,11 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Words that a worker remembers before it starts afresh.
 MOST_WORDS = 600_000
-#: Letters whose composed form and lower case are one character, and
-#: the pre-tokenizer's pattern restricted to them.
+#: Letters whose composed form and lower case are one character, texts of
+#: which the lower case has no other letters, and the pre-tokenizer's pattern for these.
 _LETTERS = "a-zß-öø-ɏ"
-_PLAIN = re.compile("[\t-\r -~À-įı-ɏ]*")
+_LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(c.lower()) == 1 and c.lower() <= "ɏ")
+_PLAIN = re.compile(f"[\t-\r -~{_LATIN}]*")
 _PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r {_LETTERS}0-9]+")
 _CHUNKS = re.compile("[^\t-\r ]+")
 

@@ -142,3 +142,14 @@ def test_nothing_from_nothing(empty, tmp_path):
     assert counts.section_tokens(empty, VOCABULARY).count() == 0
     index = planes.write_ids(empty, str(tmp_path / "none"), VOCABULARY)
     assert planes.read_documents(index, str(tmp_path / "none")).count() == 0
+
+
+def test_every_plain_character_inside_a_word(library):
+    ours = tokens.Encoder(VOCABULARY, spans=True)
+    plain = [c for c in map(chr, range(0x250)) if c not in "\x85\xa0" and (tokens._PLAIN.fullmatch(c) or c.isalpha())]
+    assert {"Ə", "Ɓ", "Ʌ"} <= set(plain)
+    texts = [t for c in plain for t in (f"ma{c}li de", f"{c}li", f"li{c}", c)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        ids, first, last = ours.spans(text.encode())
+        assert ids.tolist() == want.ids == ours.ids(text.encode()).tolist()
+        assert list(zip(first.tolist(), last.tolist())) == want.offsets
