@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
+sys.path += [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
 from cohortpulse.session import build_session  # noqa: E402
 
@@ -41,14 +41,3 @@ def setting(spark):
             spark.conf.unset(name)
         else:
             spark.conf.set(name, value)
-
-
-def rows(df, *order):
-    """Plain tuples in key order."""
-    return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
-
-
-def executed_plan(df) -> str:
-    """Final adaptive plan after running the query."""
-    df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@ from collections import defaultdict
 from random import Random
 
 import pytest
-from conftest import executed_plan, rows
+from results import executed_plan, rows
 from pyspark.sql import functions as F
 
 from cohortpulse.operators import clicks as C

@@ -1,4 +1,4 @@
-from conftest import executed_plan, rows
+from results import executed_plan, rows
 
 from cohortpulse.operators import cohort as H
 from cohortpulse.operators import ranking as R

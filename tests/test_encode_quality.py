@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from results import rows
 
 from cohortpulse.operators import encode as E
 from cohortpulse.operators import quality as Q

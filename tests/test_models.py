@@ -1,7 +1,7 @@
 from random import Random
 
 import pytest
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from cohortpulse.models import evaluate as V

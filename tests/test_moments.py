@@ -6,7 +6,7 @@ from random import Random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from cohortpulse.operators import moments as M

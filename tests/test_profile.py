@@ -4,7 +4,7 @@ from random import Random
 
 import numpy as np
 import pytest
-from conftest import rows
+from results import rows
 
 from cohortpulse.operators import profile as P
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 from compare import connect, differences
-from conftest import executed_plan
+from results import executed_plan
 
 import __spark_entry__ as entry_point
 from cohortpulse.plans import oracles

@@ -2,7 +2,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from cohortpulse import schemas as S
