@@ -3,23 +3,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
+sys.path.append(str(Path(__file__).parent))
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, content string, kept string, score string, hot string"
-PROSE = "the quick brown fox jumps over the lazy dog while seven wizards brew some ale "
-
-
-def edge_rows():
-    """Nulls everywhere, empty, long, tied and repeated rows, and clashing columns."""
-    long = " ".join(f"word{k % 997} of{k % 31}" for k in range(40_000))
-    shared = "a passage that many of these documents share, word for word; " * 8
-    texts = [
-        (1, None), (2, ""), (3, " \t\n"), (4, "Plain text."), (5, "Plain  text."), (6, "Plain text."), (6, "Plain text."),
-        (None, "Plain text."), (None, None), (7, long), (8, long + " end"), (9, "x" + shared + "y"), (10, "other " + shared),
-        (11, shared), (12, PROSE * 12), (13, PROSE * 12 + "extra"), (14, PROSE.upper() * 12), (15, "Größe ÄÖ ſ ǅ İ 日本 é   ok"),
-        (16, "a" * 1500), (17, "<|endoftext|> is's 12 3"), (18, "one"), (-5, "one"), (9, "x" + shared + "y"),
-    ]
-    return [(d, t, None, None if k % 4 == 0 else f"s{k % 3}", None, k, "c", None, "s", "h") for k, (d, t) in enumerate(texts)]
+from edge_cases import SCHEMA, edge_rows  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -5,20 +5,12 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import edge_rows
+from edge_cases import edge_rows, key, sorted_rows
 from pyspark.sql import functions as F
 
 from cohortpulse.llm import grace, simhash, suffixes
 
 
-def key(row):
-    return tuple((x is None, x if x is not None else 0) for x in row)
-
-
-def sorted_rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=key)
-
-
 def test_exact_groups(edge):
     got = sorted_rows(grace.exact_groups(edge))
     assert got == sorted(brute.exact(edge_rows()), key=key)

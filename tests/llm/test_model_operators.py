@@ -7,7 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import PROSE, edge_rows
+from edge_cases import PROSE, edge_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline

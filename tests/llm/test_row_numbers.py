@@ -1,11 +1,10 @@
 """Decisions reach their rows though a later scan cuts files into other partitions."""
 
 import brute
-from conftest import edge_rows
+from edge_cases import edge_rows, key, sorted_rows
 from pyspark.sql import functions as F
 
 from cohortpulse.llm import grace, simhash, suffixes
-from test_dedup import key, sorted_rows
 
 
 def other_cuts(setting):

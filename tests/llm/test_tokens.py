@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import edge_rows
+from edge_cases import edge_rows
 
 from cohortpulse.llm import counts, packing, planes, tokens
 
