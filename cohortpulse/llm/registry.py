@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import counts, grace, lm, mixing, packing, planes, quality, simhash, suffixes, topk
+from cohortpulse.llm import contamination, conversations, counts, grace, lm, mixing, packing, planes, quality, runs, simhash, suffixes, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         counts.op2_token_counts,
         lm.op7_lm_scoring,
         suffixes.op1_suffix_dedup,
+        runs.op11_periodic_runs,
+        contamination.op12_decontamination,
+        conversations.op13_conversations,
     )
 }
-ORACLES = {"op10_grace_dedup": grace.SQL, "op8_topk": topk.SQL}
+ORACLES = {"op10_grace_dedup": grace.SQL, "op8_topk": topk.SQL, "op12_decontamination": contamination.SQL}
