@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortpulse.session import shared_folder
 
 #: Number that marks a row; see :func:`with_rows`.
 ROW = "__cohortpulse_row"
+SET_ASIDE = ROW + "_given"
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -34,11 +38,54 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number, written once with all columns. Another scan may cut
-    files into other partitions, so a number holds only if it is read back."""
+    """``docs`` with a row number that holds for every scan of the result.
+
+    Another scan may cut files into other partitions, so a counter would not hold. Rows of
+    plain Parquet tables are numbered by their file and their place in it and need no
+    copy; any others are written once with all columns. A column that already has the
+    number's name is set aside until :func:`without_rows`.
+    """
+    docs = docs.withColumnRenamed(ROW, SET_ASIDE)
+    placed = _row_places(docs)
+    if placed is not None:
+        return docs.withColumn(ROW, placed)
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def _row_places(docs: DataFrame) -> Column | None:
+    """Number from a row's file and its place there; None unless ``docs`` is columns of a
+    Parquet table whose files the numbers tell apart."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        expressions = plan.expressions()
+        if any(expressions.apply(k).children().nonEmpty() for k in range(expressions.size())):
+            return None
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return None
+    # a path may be written with one slash or three after its scheme
+    names = [re.sub("^[^/]*/+", "", f) for f in docs.inputFiles()]
+    for seed in "0123":
+        if len({hashlib.md5((seed + n).encode()).hexdigest()[:8] for n in names}) == len(names):
+            break
+    else:
+        return None
+    try:
+        place = docs.metadataColumn("_metadata")
+        name = F.regexp_replace(place.getField("file_path"), "^[^/]*/+", "")
+        file = F.conv(F.substring(F.md5(F.concat(F.lit(seed), name).cast("binary")), 1, 8), 16, 10).cast("long")
+        number = F.shiftleft(file, 31) + place.getField("row_index")
+        docs.select(number)
+    except AnalysisException:  # not a Parquet table
+        return None
+    return number
+
+
+def without_rows(df: DataFrame) -> DataFrame:
+    """``df`` as it was before :func:`with_rows`."""
+    return df.drop(ROW).withColumnRenamed(SET_ASIDE, ROW)
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row number, ``doc_id`` and UTF-8 bytes of each row (null text: empty).
 
@@ -56,7 +103,13 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of a table from :func:`with_rows`, all columns but the number, whose
     numbers are in ``kept`` (one column ROW)."""
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    return without_rows(rows.join(kept, ROW, "left_semi"))
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The other way round. ``dropped`` is stored first: where it is small, as Spark then
+    sees, it is broadcast and the rows need not move."""
+    return without_rows(rows.join(stored(dropped, "dropped"), ROW, "left_anti"))
 
 
 def batches(schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, map_rows, numbered, stored, table, with_rows
+from cohortpulse.llm.common import ROW, drop_rows, map_rows, numbered, stored, table, with_rows, without_rows
 
 WINDOW = 10
 #: Bytes of benchmark words aimed at in one broadcast, and words of a piece of an item.
@@ -188,8 +188,7 @@ def n_hit(spans: str = "spans"):
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with all their columns."""
     given = with_rows(docs)
-    hit = stored(scan(given, benchmark, window).filter(F.size("spans") > 0).select(F.col("row").alias(ROW)), "hit")
-    return given.join(hit, ROW, "left_anti").drop(ROW)
+    return drop_rows(given, scan(given, benchmark, window).filter(F.size("spans") > 0).select(F.col("row").alias(ROW)))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -214,7 +213,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hit = stored(scan(given, benchmark, window).filter(F.size("spans") > 0).select(F.col("row").alias(ROW), F.col("spans").alias("__spans")), "hit")
     found = F.col("__spans").isNotNull()  # the text of other rows does not go to Python
     clean = F.when(found, cut_texts(F.when(found, F.col("text")).otherwise(""), F.coalesce("__spans", F.array()))).otherwise(F.col("text"))
-    return given.join(hit, ROW, "left").select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return without_rows(given.join(hit, ROW, "left").withColumn("text", clean).drop("__spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, WHITESPACE, keep_rows, map_rows, numbered, stored, table, with_rows
+from cohortpulse.llm.common import ROW, WHITESPACE, drop_rows, map_rows, numbered, stored, table, with_rows
 
 #: Bytes of content that one table holds before it spills or, on the map side, is emptied.
 TABLE_BYTES = 32 << 20
@@ -60,11 +60,12 @@ def rank(points: int, doc_id: int | None, row: int) -> tuple:
 class Table:
     """Open addressing with linear probing over complete contents.
 
-    A slot holds a digest, its content, the number of texts and the best of them.
+    A slot holds a digest, its content, the number of texts and the best of them. Texts
+    that a better one beats are added to ``lost``, if given.
     """
 
-    def __init__(self, slots: int = 1 << 10):
-        self.used = 0
+    def __init__(self, lost: list | None = None, slots: int = 1 << 10):
+        self.lost = lost
         self.size = 0
         self.slots = np.full(slots, -1, np.int64)
         self.entries: list[list] = []
@@ -86,6 +87,8 @@ class Table:
         at, entry = self._probe(digest, content)
         if entry is not None:
             entry[2] += n
+            if self.lost is not None:
+                self.lost.append(max(entry[3], best))
             entry[3] = min(entry[3], best)
             return True
         if not room:
@@ -117,11 +120,12 @@ def _reread(file) -> Iterator[tuple]:
             return
 
 
-def grace(records: Iterable[tuple], memory: int = TABLE_BYTES, level: int = 0) -> Iterator[list]:
-    """One entry per distinct content of (digest, content, n, best) records."""
+def grace(records: Iterable[tuple], memory: int = TABLE_BYTES, level: int = 0, lost: list | None = None) -> Iterator[list]:
+    """One entry per distinct content of (digest, content, n, best) records; the ``best``
+    of the records that others beat go to ``lost``."""
     if level > 30:
         raise ValueError("a single text exceeds the table's memory at every level")
-    held = Table()
+    held = Table(lost)
     spilled: list = []
     for digest, content, n, best in records:
         if held.add(digest, content, n, best, room=held.size < memory):
@@ -135,7 +139,7 @@ def grace(records: Iterable[tuple], memory: int = TABLE_BYTES, level: int = 0) -
     del held
     for k, file in enumerate(spilled):
         spilled[k] = None
-        yield from grace(_reread(file), memory, level + 1)
+        yield from grace(_reread(file), memory, level + 1, lost)
 
 
 def _members_and_contents(memory: int):
@@ -194,11 +198,66 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _losers_and_contents(memory: int):
+    """A task's distinct contents, dealt by digest, and the rows that lost within it."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        def emptied(held: Table) -> Iterator[tuple]:
+            for digest, content, _, (points, doc_id, row) in held.entries:
+                yield digest, row, None if doc_id == _LAST else doc_id, -points, content
+
+        lost: list = []
+        held = Table(lost)
+        for row, doc_id, text in rows:
+            content = normalised(text)
+            held.add(hashlib.sha256(content).digest(), content, 1, rank(len(text.decode()), doc_id, row))
+            if lost:
+                loser = lost.pop()[2]  # dealt by its number, so that no group's losers are one task's
+                yield loser.to_bytes(8, signed=True), loser, None, None, None
+            if held.size >= memory:
+                yield from emptied(held)
+                held = Table(lost)
+        yield from emptied(held)
+
+    return run
+
+
+def _losers(memory: int):
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        beaten: list[int] = []
+
+        def records() -> Iterator[tuple]:
+            for digest, row, doc_id, points, content in rows:
+                if content is None:
+                    beaten.append(row)
+                else:
+                    yield digest, content, 1, rank(points, doc_id, row)
+
+        lost: list = []
+        for _ in grace(records(), memory, lost=lost):
+            pass
+        yield from ((row,) for row in beaten)
+        yield from ((row,) for _, _, row in lost)
+
+    return run
+
+
+def losers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = TABLE_BYTES) -> DataFrame:
+    """Numbers of the rows that do not stay; ``docs`` comes from :func:`with_rows`."""
+    given = numbered(docs, id_col, text_col)
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("at", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("points", pa.int64()), ("content", pa.binary())])
+    rows = map_rows(given, _losers_and_contents(memory), schema, "at binary, row long, doc_id long, points long, content binary")
+    dealt = rows.repartition(max(shuffled, -(-total // PARTITION_BYTES)), "at")
+    return map_rows(dealt, _losers(memory), pa.schema([(ROW, pa.int64())]), f"{ROW} long")
+
+
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The surviving rows with all their columns."""
+    """The surviving rows with all their columns. Contents are shuffled once and not
+    written; rows move only where those that go are too many to broadcast."""
     given = with_rows(docs)
-    _, classes = exact_classes(given, id_col, text_col)
-    return keep_rows(given, classes.select(F.col("keep_row").alias(ROW)))
+    return drop_rows(given, losers(given, id_col, text_col))
 
 
 def op10_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:

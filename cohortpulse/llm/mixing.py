@@ -14,7 +14,7 @@ blocks. All sources advance evenly through the mixture: at any point of it they
 contributed tokens in proportion to their weights.
 
 Null and empty sources are one source. Null and empty texts count one token, the
-document end. Repeated rows are documents of their own. An empty table gives an empty
+document end. Repeated rows are documents of their own, at one place. An empty table gives an empty
 result. Other columns, whatever their names, are kept by ``mixed`` and play no part.
 """
 
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, map_rows, stored, table, with_rows
+from cohortpulse.llm.common import map_rows, stored, table
 from cohortpulse.llm.tokens import encoder, vocabulary_path
 
 BLOCKS = 1024
 SEED = 17
+MARK = "__mark"
 #: Passes over a source's documents that the registered query and the pipeline allow.
 PASSES = 1.5
 #: Sources whose totals the driver may hold; more raise an error.
@@ -88,8 +89,14 @@ def source_of(source_col: str) -> Column:
     return F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
 
 
+def _mark() -> Column:
+    """What a row is known by in every scan, however its files are cut: repeated rows go
+    together."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _block(seed: int, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(ROW)), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(MARK)), F.lit(blocks)).cast("int")
 
 
 def block_tokens(docs: DataFrame, vocabulary: str, source_col: str = "source", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -108,11 +115,11 @@ def block_tokens(docs: DataFrame, vocabulary: str, source_col: str = "source", b
 
 
 def _sourced(docs: DataFrame, source_col: str) -> DataFrame:
-    """Row number, id, source and UTF-8 bytes of every row."""
+    """Id, source, UTF-8 bytes and mark of every row."""
     return docs.select(
-        F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW),
         F.col("doc_id").cast("long").alias("doc_id"),
         source_of(source_col).alias("source"),
+        _mark().alias(MARK),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
 
@@ -140,7 +147,7 @@ def schedule(blocks: DataFrame, most_passes: float | None = PASSES, target_entro
 
 def _visits(given: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFrame:
     """Rows of ``given`` once per pass that reaches them, with their ``position``."""
-    within = (F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col(ROW), F.col("pass")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
+    within = (F.xxhash64(F.lit(seed + 1), F.col(MARK), F.col("pass")).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
     spot = F.col("start") + within * F.col("n")
     rows = given.withColumn("block", _block(seed, blocks)).join(plan, ["source", "block"])
     return rows.withColumn("spot", spot).filter("spot < share").withColumn("position", F.col("spot") / F.col("share"))
@@ -149,7 +156,6 @@ def _visits(given: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFr
 def mixture(docs: DataFrame, vocabulary: str, source_col: str = "source", blocks: int = BLOCKS, seed: int = SEED, **target) -> DataFrame:
     """One row per use of a document: ``doc_id, source, pass, position, weight``;
     the mixture is read in ascending ``position``."""
-    docs = with_rows(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", source_col])]))
     given = _sourced(docs, source_col)
     plan = schedule(stored(block_tokens(docs, vocabulary, source_col, blocks, seed), "blocks"), seed=seed, **target)
     return _visits(given.drop("text"), plan, blocks, seed).select("doc_id", "source", "pass", "position", "weight")
@@ -157,15 +163,14 @@ def mixture(docs: DataFrame, vocabulary: str, source_col: str = "source", blocks
 
 def mixed(docs: DataFrame, vocabulary: str, source_col: str = "source", blocks: int = BLOCKS, seed: int = SEED, **target) -> DataFrame:
     """The documents themselves in mixture order, repeated as the passes ask."""
-    docs = with_rows(docs)
     plan = schedule(stored(block_tokens(docs, vocabulary, source_col, blocks, seed), "blocks"), seed=seed, **target)
     given = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != ROW]).alias("whole"),
-        F.col(ROW),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"),
         F.col("doc_id").cast("long").alias("doc_id"),
         source_of(source_col).alias("source"),
+        _mark().alias(MARK),
     )
-    return _visits(given, plan, blocks, seed).orderBy("position", ROW).select("whole.*")
+    return _visits(given, plan, blocks, seed).orderBy("position", "doc_id", MARK).select("whole.*")
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ Null and empty texts have fingerprint zero and link like any other. Repeated row
 have one fingerprint and one class. The class id is the smallest ``doc_id`` (null if
 it has none). An empty table gives an empty result; other columns are ignored.
 
-*Near copies by similarity* (:func:`drop_near`). Documents are linked when their sets of
+*Near copies by similarity* (:func:`drop_similar`). Documents are linked when their sets of
 word shingles have a Jaccard similarity of ``SIMILARITY`` or more. ``BANDS`` keys of
 ``PER_BAND`` minimum hashes each route a set; at 0.8 a pair misses all of them once in
 half a million cases. A second 64-bit fingerprint holds one bit of each of 64 minimum hashes, so a
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, keep_rows, map_rows, numbered, stored, table, with_rows
+from cohortpulse.llm.common import ROW, drop_rows, keep_rows, map_rows, numbered, stored, table, with_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -409,9 +409,18 @@ def similar_classes(docs: DataFrame, shingle: int, similarity: float = SIMILARIT
     return placed.select("node", F.coalesce("l", "node").alias("root"), "first")
 
 
-def drop_near(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of near copies, the one with the smallest ``doc_id``, with
-    all its columns."""
+def drop_near(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each class of near copies by fingerprints, the one with the smallest
+    ``doc_id``, with all its columns."""
+    given = with_rows(docs)
+    rows = stored(fingerprints(given, shingle=shingle), "fingerprints")
+    others = rows.join(classes(rows, radius), "code").filter("row != keep_row")
+    return drop_rows(given, others.select(F.col("row").alias(ROW)))
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near copies by similarity, the one with the smallest
+    ``doc_id``, with all its columns."""
     given = with_rows(docs)
     kept = similar_classes(given, shingle, similarity).groupBy("root").agg(F.min("first").alias("first"))
     return keep_rows(given, kept.select(F.col("first.row").alias(ROW)))

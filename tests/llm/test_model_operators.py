@@ -221,7 +221,7 @@ def test_pipeline_stages_in_turn(spark, edge):
     assert sorted(tuple(r) for r in seen[1].collect()) == good
     single = sorted(r for r, e in zip(good, sorted(brute.exact(good), key=lambda e: e[0])) if e[3])
     assert sorted(tuple(r) for r in seen[2].collect()) == single
-    firsts = {c for _, _, c in brute.near(single, shingle=5)}
+    firsts = {c for _, _, c in brute.near(single)}
     assert sorted(r.doc_id for r in seen[3].collect()) == sorted(firsts)
     mixed = [r.doc_id for r in seen[4].collect()]
     assert set(mixed) == firsts and len(mixed) <= 2 * len(firsts)

@@ -3,7 +3,6 @@
 import itertools
 import random
 
-import corpus_pipeline
 from cohortpulse.llm import simhash
 
 
@@ -35,7 +34,7 @@ def left_over(docs):
 
 def stage(spark, folder, docs):
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(folder))
-    return sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.read.parquet(str(folder)), "").collect())
+    return sorted(r.doc_id for r in simhash.drop_similar(spark.read.parquet(str(folder))).collect())
 
 
 def test_edited_copies_are_found(spark, tmp_path):
