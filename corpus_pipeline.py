@@ -22,9 +22,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays: documents linked by an
-    exact similarity of 0.8 or more between their sets of five-word shingles."""
-    return simhash.drop_near(docs, shingle=5)
+    """The first document of each group of near copies stays: documents whose
+    fingerprints of four-word shingles link within 4 bits."""
+    return simhash.drop_near(docs, simhash.SHINGLE, simhash.RADIUS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
