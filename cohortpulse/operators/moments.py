@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortpulse.functions.moments import moments_of_sums, power_sum_aggregates
+from cohortpulse.functions.states import moment_states, moments_of_states
 from cohortpulse.operators.clicks import (
     attach_totals,
     finish_type_totals,
@@ -21,11 +22,13 @@ from cohortpulse.schemas import ENROLMENT_KEYS, MOMENT_COLUMNS, click_column
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _require_integers(df: DataFrame, *columns: str) -> None:
-    for name in columns:
-        kind = df.schema[name].dataType
-        if not isinstance(kind, INTEGRAL):
-            raise TypeError(f"{name} must be an integer column, got {kind.simpleString()}")
+def _integral(df: DataFrame, *columns: str) -> bool:
+    """Whether the columns are integers; other numbers take mergeable states."""
+    kinds = {name: df.schema[name].dataType for name in columns}
+    for name, kind in kinds.items():
+        if not isinstance(kind, T.NumericType):
+            raise TypeError(f"{name} must be a numeric column, got {kind.simpleString()}")
+    return all(isinstance(kind, INTEGRAL) for kind in kinds.values())
 
 
 def _with_all_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,16 +44,23 @@ def click_moments(
     day: str = "click_date",
     weight: str = "sum_click",
     wide: bool = False,
+    floating: bool | None = None,
 ) -> DataFrame:
     """Weighted variance, skewness, excess kurtosis and CV of the click day.
 
     One aggregate with map-side combining: a key holding any share of the rows
-    leaves each map task as a single row.
+    leaves each map task as a single row. Integers are summed exactly. Fractional days
+    or weights, and with ``floating`` integers too large for any exact sum, go through
+    mergeable states in doubles.
     """
-    _require_integers(clicks, day, weight)
+    given = _with_all_keys(clicks.select(*keys, day, weight), keys)
+    integral = _integral(clicks, day, weight)
+    if floating or (floating is None and not integral):
+        return moments_of_states(moment_states(given, keys, day, weight))
+    if not integral:
+        raise TypeError(f"{day} and {weight} must be integers for exact sums")
     sums = (
-        _with_all_keys(clicks.select(*keys, day, weight), keys)
-        .groupBy(*keys)
+        given.groupBy(*keys)
         .agg(*power_sum_aggregates(day, weight, wide))
     )
     return moments_of_sums(sums, wide)
@@ -77,9 +87,15 @@ def engagement_totals(
     activity: str = "activity_type",
     wide: bool = False,
 ) -> DataFrame:
-    """Total, per-type totals and moments from one scan and one shuffle."""
-    _require_integers(clicks, day, weight)
+    """Total, per-type totals and moments from one scan and one shuffle.
+
+    Fractional days or weights take a second scan for their moments.
+    """
     typed = with_activity_type(clicks.select(*keys, site, day, weight), vle, site, activity)
+    if not _integral(clicks, day, weight):
+        sums = [F.sum(weight).alias("total_clicks"), *type_total_aggregates(vocabulary, weight, activity)]
+        totals = finish_type_totals(_with_all_keys(typed, keys).groupBy(*keys).agg(*sums), vocabulary)
+        return totals.join(click_moments(clicks, keys, day, weight), list(keys))
     totals = (
         _with_all_keys(typed, keys)
         .groupBy(*keys)

@@ -203,6 +203,22 @@ def _moment_ctes(source: str, keys: str) -> dict[str, str]:
     }
 
 
+def _float_moments(source: str, keys: str) -> dict[str, str]:
+    """The same definition in doubles, for fractional days and weights."""
+    return {
+        "means": f"SELECT {keys}, sum(w) AS w, sum(w * d) / nullif(sum(w), 0) AS mu FROM {source} GROUP BY {keys}",
+        "deviations": f"""
+            SELECT {keys}, any_value(mu) AS mu, any_value(m.w) AS w, sum(s.w * pow(d - mu, 2)) AS d2,
+                   sum(s.w * pow(d - mu, 3)) AS d3, sum(s.w * pow(d - mu, 4)) AS d4
+            FROM {source} s JOIN means m USING ({keys}) GROUP BY {keys}""",
+        "moments": f"""
+            SELECT {keys}, d2 / w AS click_time_variance, d3 / w / pow(nullif(d2 / w, 0), 1.5) AS click_time_skewness,
+                   d4 / w / pow(nullif(d2 / w, 0), 2) - 3 AS click_time_kurtosis, sqrt(d2 / w) / nullif(mu, 0) AS click_time_cv
+            FROM (SELECT * REPLACE (nullif(w, 0) AS w) FROM deviations)""",
+    }
+
+
+MICROS = "(epoch_us(ts) - 1704067200000000)"
 ROUNDED_MOMENTS = ", ".join(_r6(m, m) for m in MOMENT_COLUMNS)
 
 # What each expression reads, so that a twin carries only what it needs.
@@ -533,6 +549,20 @@ def build() -> dict[str, str]:
             f"SELECT event_type, {ROUNDED_MOMENTS} FROM moments",
             _moment_ctes("user_clicks", "event_type"),
         ),
+        "moments_fractional": _with(
+            [],
+            "SELECT user_id, round(click_time_variance, 2) AS click_time_variance, "
+            + ", ".join(_r6(m, m) for m in MOMENT_COLUMNS[1:])
+            + " FROM moments",
+            {"timed": f"SELECT user_id, {MICROS} / 86400000000 AS d, value AS w FROM events", **_float_moments("timed", "user_id")},
+        ),
+        "moments_microseconds": _with(
+            [],
+            "SELECT event_type, round(click_time_variance / 1e18, 5) AS click_time_variance, "
+            + ", ".join(f"round({m}, 5) AS {m}" for m in MOMENT_COLUMNS[1:])
+            + " FROM moments",
+            {"timed": f"SELECT event_type, {MICROS}::DOUBLE AS d, 3.0::DOUBLE AS w FROM events", **_float_moments("timed", "event_type")},
+        ),
         "moments_joined": _with(
             ["info", "clicks"],
             f"SELECT {numbered}, {ROUNDED_MOMENTS} FROM info i LEFT JOIN moments m USING ({KEYS})",

@@ -318,6 +318,21 @@ def moments_wide_sums(t: StandIns) -> DataFrame:
     return _rounded(M.click_moments(t.event_clicks, ["event_type"], wide=True), *MOMENT_COLUMNS)
 
 
+@query
+def moments_fractional(t: StandIns) -> DataFrame:
+    """Moments of fractional days with fractional weights, per user."""
+    found = _rounded(M.click_moments(t.timed_events, ["user_id"]), "click_time_variance", digits=2)
+    return _rounded(found, *MOMENT_COLUMNS[1:])
+
+
+@query
+def moments_microseconds(t: StandIns) -> DataFrame:
+    """Moments per type of integers that no exact sum holds."""
+    given = t.timed_events.select("event_type", "micros", F.lit(3).alias("sum_click"))
+    found = M.click_moments(given, ["event_type"], "micros", floating=True)
+    return _rounded(found.withColumn("click_time_variance", F.col("click_time_variance") / 1e18), *MOMENT_COLUMNS, digits=5)
+
+
 @query
 def moments_joined(t: StandIns) -> DataFrame:
     info = t.enrolments

@@ -205,3 +205,15 @@ class StandIns:
             F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("click_date"),
             F.round(F.col("value") * 100).cast("int").alias("sum_click"),
         )
+
+    @property
+    def timed_events(self) -> DataFrame:
+        """The events with fractional days since 2024 and their values as weights."""
+        micros = F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000
+        return self._read("events").select(
+            "user_id",
+            "event_type",
+            (micros / 86_400_000_000).alias("click_date"),
+            micros.alias("micros"),
+            F.col("value").alias("sum_click"),
+        )

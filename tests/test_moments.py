@@ -6,7 +6,7 @@ from random import Random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from results import rows
+from results import executed_plan, rows
 from pyspark.sql import functions as F
 
 from cohortpulse.operators import moments as M
@@ -120,8 +120,83 @@ def test_a_row_beyond_a_long_raises_and_wide_sums_take_it(spark):
     check(spark, data, wide=True)
 
 
-def test_fractional_input_is_refused(spark):
-    df = spark.createDataFrame([(1, 0.5, 1)], "id int, click_date double, sum_click int")
+def fractional(spark, data, kind="double", **options):
+    """Check rows (key, day, weight) against exact fractions of the doubles."""
+    groups = defaultdict(list)
+    for key, day, weight in data:
+        exact = [None if x is None or x != x else Fraction(x) for x in (day, weight)]
+        groups[key].append(tuple(exact))
+    df = spark.createDataFrame(data, "id int, click_date double, sum_click double")
+    df = df.select("id", F.col("click_date").cast(kind).alias("click_date"), F.col("sum_click").cast(kind).alias("sum_click"))
+    got = {r[0]: tuple(r)[1:] for r in M.click_moments(df.repartition(5), ["id"], **options).collect()}
+    assert got.keys() == groups.keys()
+    for key, pairs in groups.items():
+        want = expected(pairs)
+        assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, rel_tol=1e-7, abs_tol=1e-7)) for g, w in zip(got[key], want)), (key, got[key], want)
+
+
+def test_fractional_days_and_weights(spark, monkeypatch):
+    random = Random(7)
+    data = [(k % 40, random.choice([None, math.nan, *[random.uniform(-40, 270)] * 9]), random.choice([None, *[random.uniform(0, 9)] * 9])) for k in range(4000)]
+    data += [(100, 0.1, 0.3)] * 7  # one day, whose mean no double holds
+    data += [(101, 1e9 + d, 1.5) for d in (0.25, 0.5, 1.0, 8.0)] + [(102, 0.5, 0.0)] + [(103, -0.5, 2.5), (103, 0.5, 2.5)]
+    data += [(104, 3.5, -1.0), (104, 4.25, 2.0), (104, 9.5, 4.0), (105, None, 2.5), (106, 2.5, 1.0), (106, None, 1.0)]
+    fractional(spark, data)
+    monkeypatch.setattr("cohortpulse.functions.states.HELD", 8)
+    fractional(spark, data)
+
+
+def test_decimal_days(spark):
+    fractional(spark, [(1, 0.25, 1.5), (1, 8.5, 2.25), (2, -3.5, 1.0), (2, -3.5, 4.0)], "decimal(12,4)")
+
+
+def test_integers_beyond_exact_sums(spark):
+    """Microseconds: the fourth power of a day has 60 digits."""
+    start = 1_700_000_000_000_000
+    data = [(k % 3, start + (k * k * 7919) % 86_400_000_000, 10**6 + k) for k in range(300)]
+    groups = defaultdict(list)
+    for key, day, weight in data:
+        groups[key].append((day, weight))
+    df = spark.createDataFrame(data, "id int, click_date long, sum_click long")
+    got = {r[0]: tuple(r)[1:] for r in M.click_moments(df, ["id"], floating=True).collect()}
+    for key, pairs in groups.items():
+        assert all(math.isclose(g, w, rel_tol=1e-6) for g, w in zip(got[key], expected(pairs)))
+
+
+def test_states_merge_in_any_order(spark):
+    from cohortpulse.functions import states as S
+
+    rng = Random(3)
+    day, weight = ([rng.uniform(0, 1000) for _ in range(500)], [rng.uniform(0, 5) for _ in range(500)])
+    rows_ = S.row_states(S.np.array(day), S.np.array(weight))
+    once = S.merged_states(rows_, S.np.zeros(500, int), 1)
+    parts = S.merged_states(rows_, S.np.array([rng.randrange(9) for _ in range(500)]), 9)
+    twice = S.merged_states(parts, S.np.zeros(9, int), 1)
+    for name in S.STATE:
+        assert math.isclose(once[name][0], twice[name][0], rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_one_exchange_of_states(spark):
+    df = spark.range(100_000, numPartitions=4).selectExpr("id % 10 as id", "id / 7 as click_date", "id % 3 as sum_click")
+    plan = executed_plan(M.click_moments(df, ["id"]))
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_fractional_engagement(spark):
+    schema = "id_site int, id_student int, code_module string, code_presentation string, click_date double, sum_click double"
+    data = [(k % 5, k % 3, "AAA", "2013J", k / 8, (k % 4) / 2) for k in range(90)]
+    clicks = spark.createDataFrame(data, schema)
+    vle = spark.createDataFrame([(i, ["quiz", "url"][i % 2]) for i in range(4)], "id_site int, activity_type string")
+    got = {r.id_student: r for r in M.engagement_totals(clicks, vle, ["quiz", "url"]).collect()}
+    for student, row in got.items():
+        own = [r for r in data if r[1] == student]
+        assert row.total_clicks == sum(r[5] for r in own)
+        assert row.total_clicks_quiz == sum(r[5] for r in own if r[0] in (0, 2))
+        assert close(tuple(row)[-4:], expected([(Fraction(r[4]), Fraction(r[5])) for r in own]))
+
+
+def test_text_is_refused(spark):
+    df = spark.createDataFrame([(1, "0.5", 1)], "id int, click_date string, sum_click int")
     with pytest.raises(TypeError):
         M.click_moments(df, ["id"])
 
