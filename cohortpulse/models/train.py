@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortpulse.functions.columns import clean_name, identifier
 from cohortpulse.models.evaluate import THRESHOLD, classification_report, predicted
-from cohortpulse.models.split import in_test, train_test_split
+from cohortpulse.models.split import exact_test_split, in_test, train_test_split
 from cohortpulse.operators.cohort import in_group
 from cohortpulse.operators.encode import MISSING_SUFFIX, fill_missing, non_zero_columns, non_zero_flags
 from cohortpulse.schemas import (
@@ -47,6 +47,8 @@ class Settings:
     pooled_weight: float = 2.0
     threshold: float = THRESHOLD
     test_percent: int = 20
+    #: Exactly this share of a model's rows, rounded up, instead of one in expectation.
+    exact_share: bool = False
 
 
 @dataclass(frozen=True)
@@ -174,7 +176,10 @@ def _fit_part(
     name: str, part: DataFrame, columns: Sequence[str], flagged: Sequence[str], weight: float, trainable: bool, settings: Settings
 ) -> Fitted:
     prepared, features = prepare(part, columns, flagged)
-    train, test = train_test_split(prepared, test_percent=settings.test_percent, seed=settings.seed)
+    if settings.exact_share:
+        train, test = exact_test_split(prepared, share=settings.test_percent / 100, seed=settings.seed)
+    else:
+        train, test = train_test_split(prepared, test_percent=settings.test_percent, seed=settings.seed)
     model = fit(train, features, weight, settings) if trainable else None
     return Fitted(name, model, features, test, settings.threshold)
 

@@ -157,6 +157,41 @@ def clicks_by_type(
     return finish_type_totals(totals, vocabulary)
 
 
+def clicks_by_type_long(
+    clicks: DataFrame,
+    vle: DataFrame,
+    keys: Sequence[str] = ENROLMENT_KEYS,
+    site: str = "id_site",
+    weight: str = "sum_click",
+    activity: str = "activity_type",
+) -> DataFrame:
+    """Sum of clicks per enrolment and activity type it touched, a row each.
+
+    The form of :func:`clicks_by_type` for any number of types: no vocabulary is collected
+    and the plan does not grow with it. A type whose counts are all null has a null sum.
+    """
+    typed = with_activity_type(clicks.select(*keys, site, weight), vle, site, activity)
+    return typed.where(F.col(activity).isNotNull()).groupBy(*keys, activity).agg(F.sum(weight).alias("total_clicks"))
+
+
+def clicks_by_type_map(
+    totals: DataFrame, keys: Sequence[str] = ENROLMENT_KEYS, activity: str = "activity_type", total: str = "total_clicks"
+) -> DataFrame:
+    """One map per enrolment from the long form: activity type to clicks, types in order.
+
+    A second level of aggregation: an enrolment sends one entry per type it touched,
+    however many clicks it has.
+    """
+    entries = F.array_sort(F.collect_list(F.struct(F.col(activity).alias("type"), F.col(total).alias("clicks"))))
+    return totals.groupBy(*keys).agg(F.map_from_entries(entries).alias("clicks_by_type"))
+
+
+def clicks_on(activity_type: str, clicks: str = "clicks_by_type") -> Column:
+    """Clicks on one type from a map: 0 if it was not touched, null if all its counts are."""
+    kind = F.lit(activity_type)
+    return F.when(F.map_contains_key(clicks, kind), F.element_at(clicks, kind)).otherwise(F.lit(0))
+
+
 def with_default_columns(
     df: DataFrame, columns: Sequence[str], default: int = 0, kind: str = "int"
 ) -> DataFrame:

@@ -76,6 +76,35 @@ def attach_moments(
     return left_join_totals(info, moments.select(*keys, *MOMENT_COLUMNS), keys, unique_info)
 
 
+def engagement_sums(
+    typed: DataFrame,
+    vocabulary: Sequence[str],
+    keys: Sequence[str] = ENROLMENT_KEYS,
+    day: str = "click_date",
+    weight: str = "sum_click",
+    activity: str = "activity_type",
+    wide: bool = False,
+) -> DataFrame:
+    """Additive sums per enrolment of clicks with their activity type: totals, totals per
+    type and power sums. :func:`finish_engagement` makes features of them."""
+    if not _integral(typed, day, weight):
+        raise TypeError(f"{day} and {weight} must be integers for sums that add up exactly")
+    return (
+        _with_all_keys(typed, keys)
+        .groupBy(*keys)
+        .agg(
+            F.sum(weight).alias("total_clicks"),
+            *type_total_aggregates(vocabulary, weight, activity),
+            *power_sum_aggregates(day, weight, wide),
+        )
+    )
+
+
+def finish_engagement(sums: DataFrame, vocabulary: Sequence[str], wide: bool = False) -> DataFrame:
+    """Totals, totals per type and moments from their sums."""
+    return moments_of_sums(finish_type_totals(sums, vocabulary), wide)
+
+
 def engagement_totals(
     clicks: DataFrame,
     vle: DataFrame,
@@ -92,20 +121,11 @@ def engagement_totals(
     Fractional days or weights take a second scan for their moments.
     """
     typed = with_activity_type(clicks.select(*keys, site, day, weight), vle, site, activity)
-    if not _integral(clicks, day, weight):
-        sums = [F.sum(weight).alias("total_clicks"), *type_total_aggregates(vocabulary, weight, activity)]
-        totals = finish_type_totals(_with_all_keys(typed, keys).groupBy(*keys).agg(*sums), vocabulary)
-        return totals.join(click_moments(clicks, keys, day, weight), list(keys))
-    totals = (
-        _with_all_keys(typed, keys)
-        .groupBy(*keys)
-        .agg(
-            F.sum(weight).alias("total_clicks"),
-            *type_total_aggregates(vocabulary, weight, activity),
-            *power_sum_aggregates(day, weight, wide),
-        )
-    )
-    return moments_of_sums(finish_type_totals(totals, vocabulary), wide)
+    if _integral(clicks, day, weight):
+        return finish_engagement(engagement_sums(typed, vocabulary, keys, day, weight, activity, wide), vocabulary, wide)
+    sums = [F.sum(weight).alias("total_clicks"), *type_total_aggregates(vocabulary, weight, activity)]
+    totals = finish_type_totals(_with_all_keys(typed, keys).groupBy(*keys).agg(*sums), vocabulary)
+    return totals.join(click_moments(clicks, keys, day, weight), list(keys))
 
 
 def attach_engagement(

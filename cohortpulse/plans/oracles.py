@@ -218,6 +218,13 @@ def _float_moments(source: str, keys: str) -> dict[str, str]:
     }
 
 
+MANY_TYPES = "SELECT *, 'type-' || (id_site % 5000) AS activity_type FROM clicks WHERE id_site % 50 <> 7"
+
+
+def _order_hash(column: str) -> str:
+    return f"CAST('0x' || substr(md5('1|' || {column}), 1, 15) AS BIGINT)"
+
+
 MICROS = "(epoch_us(ts) - 1704067200000000)"
 ROUNDED_MOMENTS = ", ".join(_r6(m, m) for m in MOMENT_COLUMNS)
 
@@ -418,6 +425,12 @@ def build() -> dict[str, str]:
         "CASE WHEN CAST('0x' || substr(md5('1-' || id_student || '-' || code_module || '-' || code_presentation), "
         "1, 8) AS BIGINT) % 100 < 20 THEN 1 ELSE 0 END"
     )
+    engagement = _with(
+        ["clicks", "totals", "type_totals"],
+        f"SELECT {KEYS}, t.total_clicks, {PIVOT}, {ROUNDED_MOMENTS} FROM totals t "
+        f"LEFT JOIN type_totals y USING ({KEYS}) LEFT JOIN moments m USING ({KEYS})",
+        MOMENTS,
+    )
     profiled = ["studied_credits", "number_of_prev_attempts", "total_clicks", "avg_score"]
     wide = {
         "wide": f"SELECT i.*, {_zero('total_clicks', 't')}, s.avg_score FROM info i "
@@ -528,6 +541,20 @@ def build() -> dict[str, str]:
             ["info", "type_totals"],
             f"SELECT {numbered}, {PIVOT} FROM info i LEFT JOIN type_totals y USING ({KEYS})",
         ),
+        "clicks_by_type_sparse": _with(
+            ["clicks"],
+            f"SELECT {KEYS}, activity_type, CAST(sum(sum_click) AS BIGINT) AS total_clicks FROM kinds GROUP BY ALL",
+            {"kinds": MANY_TYPES},
+        ),
+        "clicks_by_type_maps": _with(
+            ["clicks"],
+            f"SELECT {KEYS}, count(*) AS n_types, string_agg(activity_type || '=' || n, ' ' ORDER BY activity_type) AS entries, "
+            "CAST(coalesce(sum(n) FILTER (activity_type = 'type-11'), 0) AS BIGINT) AS clicks_11, CAST(0 AS BIGINT) AS clicks_none "
+            f"FROM (SELECT {KEYS}, activity_type, CAST(sum(sum_click) AS BIGINT) AS n FROM kinds GROUP BY ALL) GROUP BY {KEYS}",
+            {"kinds": MANY_TYPES},
+        ),
+        "engagement_bucketed": engagement,
+        "engagement_incremental": engagement,
         "click_moments": _with(["clicks"], f"SELECT {KEYS}, {ROUNDED_MOMENTS} FROM moments", MOMENTS),
         "totals_null_keys": _with(
             ["clicks"],
@@ -608,6 +635,17 @@ def build() -> dict[str, str]:
             + ")",
             {**matrix, "flags": f"SELECT pres_groups, {kept} FROM matrix WHERE pres_groups BETWEEN 1 AND 12 GROUP BY pres_groups"},
         ),
+        "exact_split": _with(
+            ["runs"],
+            f"SELECT o_orderkey AS enrolment_no, CAST(row_number() OVER (ORDER BY {_order_hash('o_orderkey')}) "
+            "<= ceil(count(*) OVER () / 5) AS INTEGER) AS in_test FROM runs",
+        ),
+        "exact_split_tied": _with(
+            ["runs"],
+            "SELECT id_student, count(*) AS n, CAST(sum(CAST(place <= cut AS INTEGER)) AS BIGINT) AS n_test FROM ("
+            f"SELECT id_student, row_number() OVER (ORDER BY {_order_hash('id_student')}) AS place, "
+            "(count(*) OVER () * 33 + 99) // 100 AS cut FROM runs) GROUP BY id_student",
+        ),
         "hash_split": _with(["info"], f"SELECT enrolment_no, {split} AS in_test FROM info"),
         "profile_numeric": _with(
             ["info", "totals", "mean_scores"], " UNION ALL ".join(_profile_row(c) for c in profiled), wide

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortpulse.models.evaluate import classification_report, confusion, predicted
 from cohortpulse.models.importance import top_gains
-from cohortpulse.models.split import in_test
+from cohortpulse.models.split import exact_test_split, in_test
 from cohortpulse.models.train import (
     MAY_BE_MISSING,
     feature_columns,
@@ -30,6 +30,7 @@ from cohortpulse.operators import moments as M
 from cohortpulse.operators import profile as P
 from cohortpulse.operators import quality as Q
 from cohortpulse.operators import ranking as R
+from cohortpulse.operators.incremental import add_increment, engagement_from_state
 from cohortpulse.plans.features import described_first_attempts, modelling_table
 from cohortpulse.schemas import (
     ACTIVITY_TYPES,
@@ -43,7 +44,7 @@ from cohortpulse.schemas import (
 )
 from cohortpulse.session import shared_folder
 from cohortpulse.sources.readers import read_base_csv
-from cohortpulse.sources.sinks import temporary_folder, temporary_table, write_features
+from cohortpulse.sources.sinks import temporary_folder, temporary_table, write_bucketed, write_features
 from cohortpulse.sources.stand_ins import StandIns
 
 NUMBER = "enrolment_no"
@@ -299,6 +300,60 @@ def clicks_by_type_pivot(t: StandIns) -> DataFrame:
     return C.attach_totals(info, C.clicks_by_type(t.student_vle, t.vle, vocabulary), unique_info=False)
 
 
+def _many_types(t: StandIns) -> DataFrame:
+    """Resources of up to 5000 activity types, one of 50 without any."""
+    kind = F.concat(F.lit("type-"), (F.col("id_site") % 5000).cast("string"))
+    return t.vle.withColumn("activity_type", F.when(F.col("id_site") % 50 != 7, kind))
+
+
+@query
+def clicks_by_type_sparse(t: StandIns) -> DataFrame:
+    """Totals of thousands of activity types, a row per enrolment and type touched."""
+    return C.clicks_by_type_long(t.student_vle, _many_types(t))
+
+
+@query
+def clicks_by_type_maps(t: StandIns) -> DataFrame:
+    """The same as one map per enrolment, written out, and two of its entries."""
+    maps = C.clicks_by_type_map(C.clicks_by_type_long(t.student_vle, _many_types(t)))
+    entries = F.expr("array_join(transform(map_entries(clicks_by_type), e -> concat(e.key, '=', e.value)), ' ')")
+    return maps.select(
+        *ENROLMENT_KEYS,
+        F.size("clicks_by_type").cast("long").alias("n_types"),
+        entries.alias("entries"),
+        C.clicks_on("type-11").alias("clicks_11"),
+        C.clicks_on("no such type").alias("clicks_none"),
+    )
+
+
+# --- Stored clicks and sums ---------------------------------------------------
+
+
+def _typed(t: StandIns) -> DataFrame:
+    return C.with_activity_type(t.student_vle, t.vle)
+
+
+@query
+def engagement_bucketed(t: StandIns) -> DataFrame:
+    """All engagement features of a clickstream that is stored by enrolment. The table
+    stays, as the features are read from it; its folder is in the shared one."""
+    name = f"clicks_{uuid.uuid4().hex}"
+    stored = write_bucketed(_typed(t), name, ENROLMENT_KEYS, 16, f"{shared_folder(t.spark)}/{name}")
+    sums = M.engagement_sums(stored, ACTIVITY_TYPES)
+    return _rounded(M.finish_engagement(sums, ACTIVITY_TYPES), *MOMENT_COLUMNS)
+
+
+@query
+def engagement_incremental(t: StandIns) -> DataFrame:
+    """The same from sums that a base load and two increments, one of them repeated, were
+    added to. The state stays, as the features are read from it."""
+    path = f"{shared_folder(t.spark)}/state-{uuid.uuid4().hex}"
+    typed, day = _typed(t), F.col("click_date")
+    for batch, part in ((0, day < 40), (1, day.between(40, 79)), (1, day.between(40, 79)), (2, ~(day < 80))):
+        add_increment(path, typed.where(part), batch, ACTIVITY_TYPES, folders=16)
+    return _rounded(engagement_from_state(t.spark, path, ACTIVITY_TYPES), *MOMENT_COLUMNS)
+
+
 # --- Moments ------------------------------------------------------------------
 
 
@@ -414,6 +469,22 @@ def hash_split(t: StandIns) -> DataFrame:
     return t.enrolments.select(NUMBER, in_test().cast("int").alias("in_test"))
 
 
+@query
+def exact_split(t: StandIns) -> DataFrame:
+    """A test part of exactly a fifth of the enrolments, rounded up."""
+    train, test = exact_test_split(t.enrolments.select(NUMBER), [NUMBER])
+    return train.withColumn("in_test", F.lit(0)).union(test.withColumn("in_test", F.lit(1)))
+
+
+@query
+def exact_split_tied(t: StandIns) -> DataFrame:
+    """The same by students, who are on both sides of the cut at most once."""
+    given = t.enrolments.select("id_student")
+    train, test = exact_test_split(given, ["id_student"], share=0.33)
+    both = train.withColumn("in_test", F.lit(0)).union(test.withColumn("in_test", F.lit(1)))
+    return both.groupBy("id_student").agg(F.count(F.lit(1)).alias("n"), F.sum("in_test").alias("n_test"))
+
+
 # --- Profile and ranking ------------------------------------------------------
 
 

@@ -1,3 +1,5 @@
+import math
+from fractions import Fraction
 from random import Random
 
 import pytest
@@ -158,3 +160,23 @@ def test_weights_raise_recall(spark, frame):
         return {r["class"]: r.recall for r in report.collect()}["1"]
 
     assert recall(9.0) >= recall(0.1)
+
+
+@pytest.mark.parametrize("n,share", [(0, 0.2), (1, 0.2), (10, 0.2), (11, 0.2), (5000, 0.2), (997, 0.33), (100, 0.07), (50, 1.0), (50, 0.0)])
+def test_exact_number_of_test_rows(spark, n, share):
+    df = spark.range(n).withColumn("x", F.col("id") % 3)
+    train, test = S.exact_test_split(df, ["id"], share)
+    ids = sorted(r.id for r in test.collect())
+    assert len(ids) == math.ceil(Fraction(str(share)) * n)
+    assert sorted(ids + [r.id for r in train.collect()]) == list(range(n))
+    assert test.columns == train.columns == df.columns
+    other = S.exact_test_split(df.repartition(7, "x"), ["id"], share)[1]
+    assert sorted(r.id for r in other.collect()) == ids
+
+
+def test_exact_split_of_rows_that_are_alike(spark):
+    df = spark.range(1000).select((F.col("id") % 4).alias("k"), F.lit(None).cast("string").alias("none"))
+    train, test = S.exact_test_split(df, ["k", "none"], 0.3)
+    assert test.count() == 300 and train.count() == 700
+    sizes = {r.k: r["count"] for r in test.groupBy("k").count().collect()}
+    assert sorted(sizes.values()) == [50, 250]
