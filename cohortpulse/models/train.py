@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -235,11 +235,14 @@ def fit_study(
 UNTRAINED = "not trained: one class"
 
 
-def study_report(models: Sequence[Fitted], threshold: float | None = None) -> DataFrame:
+def study_report(
+    models: Sequence[Fitted], threshold: float | None = None, scorer: Callable[[Fitted, float | None], DataFrame] = score
+) -> DataFrame:
     """Classification report of every model on its own test rows, at its threshold and,
     as ``decision`` says, at the default of 0.5.
 
-    A model that could not be trained has one row, with its test rows as support.
+    A model that could not be trained has one row, with its test rows as support. Test rows
+    are scored by ``scorer``.
     """
     parts = []
     for m in models:
@@ -252,7 +255,7 @@ def study_report(models: Sequence[Fitted], threshold: float | None = None) -> Da
                     none.alias("precision"), none.alias("recall"), none.alias("f1"), "support",
                 )
             )
-    trained = [score(m, threshold) for m in models if m.model is not None]
+    trained = [scorer(m, threshold) for m in models if m.model is not None]
     if trained:
         scored = reduce(DataFrame.unionByName, trained)
         decisions = F.explode(

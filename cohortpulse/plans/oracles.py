@@ -627,6 +627,15 @@ def build() -> dict[str, str]:
             f"SELECT CAST(pres_groups AS VARCHAR), distinction, {split} FROM first WHERE pres_groups BETWEEN 1 AND 12) "
             "GROUP BY model, distinction",
         ),
+        "gbt_node_check": _with(
+            ["first"],
+            "SELECT model, CAST(sum(n_test) AS BIGINT) AS n_rows, CAST(sum(n_test) AS BIGINT) AS n_by_nodes, "
+            "CAST(0 AS BIGINT) AS n_far, CAST(0 AS BIGINT) AS n_decided_otherwise FROM ("
+            "SELECT model, distinction, count(*) FILTER (t = 0) AS n_train, count(*) FILTER (t = 1) AS n_test "
+            f"FROM (SELECT 'all' AS model, distinction, {split} AS t FROM first UNION ALL "
+            f"SELECT CAST(pres_groups AS VARCHAR), distinction, {split} FROM first WHERE pres_groups BETWEEN 1 AND 12) "
+            "GROUP BY model, distinction) GROUP BY model HAVING count(*) FILTER (n_train > 0) = 2",
+        ),
         "model_features": _with(
             ["first", "type_totals"],
             "SELECT CAST(pres_groups AS VARCHAR) AS model, feature FROM (UNPIVOT flags ON COLUMNS(* EXCLUDE (pres_groups)) "

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortpulse.models.evaluate import classification_report, confusion, predicted
 from cohortpulse.models.importance import top_gains
+from cohortpulse.models.nodes import route_differences
 from cohortpulse.models.split import exact_test_split, in_test
 from cohortpulse.models.train import (
     MAY_BE_MISSING,
+    Settings,
     feature_columns,
     fit_study,
     kept_features,
@@ -588,3 +591,15 @@ def gbt_gain_top15(t: StandIns) -> DataFrame:
         models = fit_study(_modelling(t), path=f"{path}/rows")
         gains = top_gains(models, path=path)
         return t.spark.createDataFrame(gains.collect(), gains.schema)
+
+
+@query
+def gbt_node_check(t: StandIns) -> DataFrame:
+    """Test rows of every model, and those that its saved node table scores otherwise.
+
+    Ten rounds, as the check is of the scoring; counts of rows are those of the full study.
+    """
+    with temporary_folder(t.spark, "study") as path:
+        models = fit_study(_modelling(t), settings=Settings(rounds=10), path=f"{path}/rows")
+        checks = [route_differences(m, path) for m in models if m.model is not None]
+        return t.spark.createDataFrame(reduce(DataFrame.union, checks).collect(), checks[0].schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortpulse.models import evaluate as V
 from cohortpulse.models import importance as I
+from cohortpulse.models import nodes as N
 from cohortpulse.models import split as S
 from cohortpulse.models import train as T
 from cohortpulse.operators.encode import clean_columns
@@ -180,3 +181,24 @@ def test_exact_split_of_rows_that_are_alike(spark):
     assert test.count() == 300 and train.count() == 700
     sizes = {r.k: r["count"] for r in test.groupBy("k").count().collect()}
     assert sorted(sizes.values()) == [50, 250]
+
+
+def test_node_table_gives_the_model_s_scores(spark, frame):
+    """Probability and both decisions of every test row, and the report, by joins."""
+    models = T.fit_study(frame, [1, 2], T.Settings(rounds=12))
+    trained = [m for m in models if m.model is not None]
+    assert [m.name for m in trained] == ["1", "all"]
+    for m in trained:
+        assert N.node_table(m).count() == sum(t.numNodes for t in m.model.trees)
+        found = N.route_differences(m).first()
+        assert found.n_rows == found.n_by_nodes == m.test.count() > 50
+        assert found.n_far == found.n_decided_otherwise == 0
+    one, other = T.study_report(models), T.study_report(models, scorer=N.score_by_nodes)
+    key = lambda r: str(r[:3])
+    assert sorted((tuple(r) for r in one.collect()), key=key) == sorted((tuple(r) for r in other.collect()), key=key)
+
+
+def test_exact_share_in_training(spark, frame):
+    settings = T.Settings(rounds=2, exact_share=True)
+    model = T.fit_pooled(T.stage(frame), settings)
+    assert model.test.count() == math.ceil(Fraction("0.2") * frame.count())
