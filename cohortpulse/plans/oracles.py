@@ -446,6 +446,7 @@ def build() -> dict[str, str]:
         + ", ".join(f"0 AS {click_column(t)}" for t in ACTIVITY_TYPES[:5])
         + " FROM orders",
         "csv_load": _with(["info"], f"SELECT {info_columns} FROM info"),
+        "csv_mixed_headers": _with(["info"], f"SELECT {info_columns} FROM info"),
         "feature_sink": _with(
             ["info", "totals"],
             f"SELECT pres_groups, count(*) AS n_rows, CAST(sum(total_clicks) AS BIGINT) AS n_clicks FROM ("

@@ -118,6 +118,19 @@ def csv_load(t: StandIns) -> DataFrame:
     return read_base_csv(t.spark, [f"{path}/0", f"{path}/1"], "studentInfo")
 
 
+@query
+def csv_mixed_headers(t: StandIns) -> DataFrame:
+    """The same with three orders of columns in one folder, a third of the rows each. The
+    folder stays, as the table is read from it."""
+    path = f"{shared_folder(t.spark)}/csv-{uuid.uuid4().hex}"
+    names = [f.name for f in STUDENT_INFO.fields]
+    source = t.student_info.select(NUMBER, *names, F.lit("x").alias("extra"))
+    for part, columns in enumerate((names, names[::-1], ["extra", *names[5:], *names[:5]])):
+        third = source.where(F.col(NUMBER) % 3 == part).select(*columns)
+        third.write.mode("append").option("header", True).option("nullValue", "?").csv(path)
+    return read_base_csv(t.spark, path, "studentInfo")
+
+
 @query
 def feature_sink(t: StandIns) -> DataFrame:
     """Features written by group and read back."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +30,42 @@ def read_csv(
     renames: Mapping[str, str] | None = None,
     null_value: str = "",
     strict: bool = True,
+    one_header: bool = False,
 ) -> DataFrame:
     """Typed table from CSV files whose headers differ from the schema.
 
     Columns are matched by header name after ``renames``, not by position;
-    extra columns are dropped and a missing one is an error. Each path of a list has
-    a header of its own; files below one path must agree on theirs, and the job
-    stops at one that does not. With ``strict`` a malformed value or a row with too
-    few or too many fields stops the job too; without it they become null or are cut.
+    extra columns are dropped and a missing one is an error. Every file has a header of
+    its own: files are grouped by their header line and read group by group. Finding the
+    headers is one more pass that only splits lines; ``one_header`` says that the files
+    below each path agree and saves it, and the job stops at one that does not. With
+    ``strict`` a malformed value or a row with too few or too many fields stops the job
+    too; without it they become null or are cut.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    return reduce(DataFrame.unionByName, [_read_one_csv(spark, p, schema, renames, null_value, strict) for p in paths])
+    groups: list[str | list[str]] = []
+    for p in [path] if isinstance(path, str) else path:
+        found = [] if one_header else list(files_by_header(spark, p).values())
+        groups += found if len(found) > 1 else [p]
+    return reduce(DataFrame.unionByName, [_read_one_csv(spark, p, schema, renames, null_value, strict) for p in groups])
+
+
+def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below a path by their first line that is not blank; the driver holds one line
+    per file, as it holds the files' names anyway."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
+    # a block of a file is one task's, whose numbers follow the lines
+    first = lines.where((F.col("block") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in sorted(first.collect()):
+        found.setdefault(r["header"].rstrip("\r"), []).append(unquote(r["file"]))
+    return found
 
 
 def _read_one_csv(
-    spark: SparkSession, path: str, schema: T.StructType, renames: Mapping[str, str] | None, null_value: str, strict: bool
+    spark: SparkSession, path: str | list[str], schema: T.StructType, renames: Mapping[str, str] | None, null_value: str, strict: bool
 ) -> DataFrame:
     reader = spark.read.option("header", True).option("nullValue", null_value)
     header = reader.option("inferSchema", False).csv(path).schema
@@ -71,7 +93,7 @@ def _read_one_csv(
 
 
 def read_base_csv(
-    spark: SparkSession, path: str | Sequence[str], table: str, null_value: str = "?", strict: bool = True
+    spark: SparkSession, path: str | Sequence[str], table: str, null_value: str = "?", strict: bool = True, one_header: bool = False
 ) -> DataFrame:
     """One of the seven base tables from CSV, with its known header changes."""
-    return read_csv(spark, path, TABLES[table], HEADER_RENAMES.get(table), null_value, strict)
+    return read_csv(spark, path, TABLES[table], HEADER_RENAMES.get(table), null_value, strict, one_header)

@@ -92,11 +92,39 @@ def test_csv_files_that_disagree(spark, tmp_path):
     one, two = folder("one", a=f"{head}\nAAA,2013J,10\n"), folder("two", a=f"{turned}\n2014J,BBB,20\n")
     assert rows(R.read_base_csv(spark, [one, two], "courses")) == [("AAA", "2013J", 10), ("BBB", "2014J", 20)]
     mixed = folder("mixed", a=f"{head}\nAAA,2013J,10\n", b=f"{turned}\n2014J,BBB,20\n")
-    for path in (mixed, folder("short", a=f"{head},x\nAAA,2013J\n"), folder("long", a=f"{head}\nAAA,2013J,10,7\n")):
+    assert rows(R.read_base_csv(spark, mixed, "courses")) == [("AAA", "2013J", 10), ("BBB", "2014J", 20)]
+    with pytest.raises(Exception):
+        R.read_base_csv(spark, mixed, "courses", one_header=True).collect()
+    for path in (folder("short", a=f"{head},x\nAAA,2013J\n"), folder("long", a=f"{head}\nAAA,2013J,10,7\n")):
         with pytest.raises(Exception):
             R.read_base_csv(spark, path, "courses").collect()
 
 
+def test_three_headers_in_one_folder(spark, tmp_path):
+    """Other orders, names and extra columns, blank first lines, spaces in names."""
+    texts = {
+        "a b": "code_module,code_presentation,module_presentation_length\r\nAAA,2013J,10\r\n",
+        "c": "\n\nmodule_presentation_length,extra,code_module,code_presentation\n20,x,BBB,2014J\n",
+        "d": "code_presentation,length,code_module\n2014B,30,CCC\n" + "2014J,31,CCC\n" * 2,
+        "e": "code_presentation,length,code_module\n2013B,?,DDD\n",
+        "none": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    schema, renames = R.TABLES["courses"], {"length": "module_presentation_length"}
+    got = R.read_csv(spark, str(tmp_path), schema, renames, "?")
+    assert [f.dataType for f in got.schema] == [f.dataType for f in schema]
+    want = [("AAA", "2013J", 10), ("BBB", "2014J", 20), ("CCC", "2014B", 30), ("CCC", "2014J", 31), ("CCC", "2014J", 31), ("DDD", "2013B", None)]
+    assert sorted(rows(got), key=str) == sorted(want, key=str)
+    assert sorted(map(len, R.files_by_header(spark, str(tmp_path)).values())) == [1, 1, 2]
+    (tmp_path / "f.csv").write_text("code_presentation,code_module\n2013B,EEE\n")
+    with pytest.raises(ValueError, match="lacks"):
+        R.read_csv(spark, str(tmp_path), schema, renames, "?")
+    (tmp_path / "f.csv").write_text("code_presentation,length,code_module,more\n2013B,1,EEE\n")
+    with pytest.raises(Exception):  # a ragged row
+        R.read_csv(spark, str(tmp_path), schema, renames, "?").collect()
+
+
 def test_temporary_tables_go(spark):
     with W.temporary_table(spark.range(5), "gone") as table:
         path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
