@@ -75,3 +75,25 @@ def test_nan_is_missing(spark):
     got = {r.column_name: r for r in P.profile_numeric(df).collect()}
     assert (got["x"]["count"], got["x"]["mean"], got["x"]["p75"], got["x"]["max"]) == (3, 2.0, 2.5, 3.0)
     assert got["y"]["count"] == 5
+
+
+@pytest.mark.parametrize("kind", ["ties", "tail", "even", "spike"])
+def test_passes(spark, kind, monkeypatch):
+    """The scan of the statistics and one or two more."""
+    passes = []
+    narrow = P._narrow
+    monkeypatch.setattr(P, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    random = Random(kind)
+    values = draw(kind, 60_000, random)
+    r = P.profile_numeric(spark.createDataFrame([(v,) for v in values], "x double").repartition(7)).first()
+    assert np.allclose([r["p25"], r["p50"], r["p75"]], np.percentile(values, [25, 50, 75]), rtol=1e-12)
+    assert 1 <= len(passes) <= 2
+
+
+@pytest.mark.parametrize("about", [[0.0, 0.0], [-1e300, 1e300], [9.9, 9.95], [-5e-324, 5e-324]])
+def test_brackets_that_miss(spark, about):
+    random = Random(5)
+    values = [random.uniform(-10, 10) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = P.exact_quantiles(df, ["x"], {"x": len(values)}, (0.3,), {"x": about}).first()["quantile"]
+    assert got == pytest.approx(np.percentile(values, 30), rel=1e-12)
