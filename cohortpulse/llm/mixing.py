@@ -35,8 +35,9 @@ SEED = 17
 MARK = "__mark"
 #: Passes over a source's documents that the registered query and the pipeline allow.
 PASSES = 1.5
-#: Sources whose totals the driver may hold; more raise an error.
-MOST_SOURCES = 100_000
+#: Exponents that one aggregate tries, and how often their range is cut.
+PARTS = 32
+STEPS = 9
 
 
 def weights(totals: dict[str, int], exponent: float) -> dict[str, float]:
@@ -85,6 +86,47 @@ def exponent_for(totals: dict[str, int], most_passes: float | None = None, targe
     return bisect(lambda x: entropy(weights(totals, x)) <= target_entropy)
 
 
+def _sums(totals: DataFrame, most: float, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent x the sums of r^x and of r^x ln r, r being a source's total as a
+    share of the largest: one small aggregate, whatever the number of sources."""
+    r = F.col("total") / most
+    powers = [F.pow(r, F.lit(float(x))) for x in exponents]
+    row = totals.agg(*[F.sum(p) for p in powers], *[F.sum(p * F.ln(r)) for p in powers]).first()
+    values = [v or 1.0 if k < len(exponents) else v or 0.0 for k, v in enumerate(row)]
+    return list(zip(values[: len(exponents)], values[len(exponents) :]))
+
+
+def _exponent(totals: DataFrame, most: float, least: float, most_passes: float | None, target_entropy: float | None, budget: float | None) -> float:
+    """:func:`exponent_for` over a table of totals: every step cuts the range of the
+    exponent into ``PARTS`` parts, all evaluated by one aggregate.
+
+    A source of share r has weight r^x over the sum of all. The smallest one is gone
+    through most often, and without a budget the largest exactly once, which leaves its
+    ratio to it, and the entropy of the weights follows from the two sums.
+    """
+    if (most_passes is None) == (target_entropy is None):
+        raise ValueError("state either a limit of passes or an entropy")
+
+    def good(x: float, whole: float, logs: float) -> bool:
+        if most_passes is None:
+            return math.log(whole) - x * logs / whole <= target_entropy
+        once = 1.0 if budget is None else budget / (most * whole)
+        return once * (least / most) ** (x - 1) <= most_passes * (1 + 1e-12)
+
+    low, high = 0.0, 1.0
+    for _ in range(STEPS):
+        points = [low + (high - low) * k / PARTS for k in range(PARTS)]
+        holds = [good(x, *sums) for x, sums in zip(points, _sums(totals, most, points))]
+        if not any(holds):
+            low = points[-1]
+            continue
+        first = holds.index(True)
+        if not first:
+            return points[0]
+        low, high = points[first - 1], points[first]
+    return high
+
+
 def source_of(source_col: str) -> Column:
     return F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
 
@@ -127,17 +169,16 @@ def _sourced(docs: DataFrame, source_col: str) -> DataFrame:
 def schedule(blocks: DataFrame, most_passes: float | None = PASSES, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """Where each pass over each stored block lies in its source's share:
     ``source, block, pass, start, n, share`` in tokens."""
-    found = blocks.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = {r["source"]: r["n"] for r in found}
-    exponent = exponent_for(totals, most_passes, target_entropy, budget)
-    rates, shares = passes(totals, exponent, budget), weights(totals, exponent)
-    spark = blocks.sparkSession
-    plan = spark.createDataFrame(
-        [(s, totals[s], float(rates[s]), float(shares[s])) for s in totals],
-        "source string, total long, passes double, weight double",
-    )
+    totals = stored(blocks.groupBy("source").agg(F.sum("n").alias("total")).filter("total > 0"), "totals")
+    extent = totals.agg(F.max("total").alias("most"), F.min("total").alias("least")).first()
+    most, least = float(extent["most"] or 1), float(extent["least"] or 1)
+    exponent = _exponent(totals, most, least, most_passes, target_entropy, budget)
+    whole, _ = _sums(totals, most, [exponent])[0]
+    share = F.col("total") / most
+    weight = F.pow(share, F.lit(exponent)) / whole
+    # without a budget the largest source has exactly one pass, and no other fewer
+    rate = F.pow(share, F.lit(exponent - 1)) if budget is None else weight * float(budget) / F.col("total")
+    plan = totals.select("source", "total", rate.alias("passes"), weight.alias("weight"))
     order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed), "source", "pass", "block"), "block")
     visits = blocks.join(plan, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes") - 1, F.lit(0)).cast("int"))))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -108,6 +108,25 @@ def test_exponent_meets_an_entropy():
         mixing.exponent_for(TOTALS, 1.0, 1.0)
 
 
+@pytest.mark.parametrize("target", [{"most_passes": 2.0}, {"most_passes": 1e9}, {"most_passes": 1.0}, {"most_passes": 1.2, "budget": 900.0}, {"target_entropy": 0.9}, {"target_entropy": 9.0}])
+def test_exponent_of_a_table(spark, target):
+    """A table of totals and a dictionary of them lead to the same exponent and weights."""
+    x = mixing.exponent_for(TOTALS, **target)
+    blocks = spark.createDataFrame([(s, k, n // 2 + (n % 2) * k) for s, n in TOTALS.items() for k in (0, 1)], "source string, block int, n long")
+    planned = mixing.schedule(blocks, **{"most_passes": None, **target}).collect()
+    assert {r.source: r.weight for r in planned} == pytest.approx(mixing.weights(TOTALS, x), rel=1e-6)
+    rates = mixing.passes(TOTALS, x, target.get("budget"))
+    assert {r.source: r.share / TOTALS[r.source] for r in planned} == pytest.approx(rates, rel=1e-6)
+
+
+def test_each_source_with_a_name_of_its_own(spark):
+    """More sources than a driver should hold: every document is its own."""
+    blocks = spark.range(150_000).selectExpr("concat('site-', id) as source", "cast(id % 1024 as int) as block", "1 + id % 9 as n")
+    planned = mixing.schedule(blocks, most_passes=2.0)
+    assert planned.select("source").distinct().count() == 150_000
+    assert planned.selectExpr("max(share / n)").first()[0] <= 2.0 + 1e-9
+
+
 def test_mixture_realises_its_weights(spark, tmp_path):
     docs = [(k, "word " * (5 + k % 7), "a" if k < 2000 else "b" if k < 2400 else None) for k in range(2500)]
     spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4).write.parquet(str(tmp_path / "d"))
