@@ -12,7 +12,7 @@ about ``CHUNK`` tokens. Each chunk's distinct bigrams are counted in the chunk,
 by bigram in a shuffle into a stored table, which grows with the corpus. To score, each
 chunk's distinct bigrams are joined to those sums and meet their chunk in a second shuffle:
 a bigram comes once per chunk however frequent it is, and a task holds one chunk with its
-counts. Only the unigrams, one pair of numbers per vocabulary entry, reach the driver.
+counts; there are as many tasks as chunks, up to ``MOST_TASKS``. Only the unigrams, one pair of numbers per vocabulary entry, reach the driver.
 
 Null and empty texts have the document end alone and are scored on it. Repeated rows
 count and are scored once each. A document with several labels is a target if any says
@@ -32,17 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortpulse.llm.common import rows_of, stored, table
-from cohortpulse.llm.tokens import END, document_ids, vocabulary_path
+from cohortpulse.llm.tokens import END, document_ids, encoder, vocabulary_path
 
-#: Ids below this number occur in the vocabulary.
+#: Ids of the default vocabulary lie below this number; see :func:`ids_below`.
 IDS = 49_408
-#: Cells of all bigrams, one for each; those of single tokens come after them.
+#: Cells of all its bigrams, one for each; those of single tokens come after them.
 CELLS = IDS * IDS
 #: Weight of the unigrams in a bigram's probability, in counts.
 PRIOR = 20.0
 #: Tokens and documents at which a chunk ends; a document is never cut.
 CHUNK = 1 << 21
 MOST_DOCUMENTS = 1 << 16
+#: Tasks that chunks are scored in; a task takes its chunks one after the other.
+MOST_TASKS = 100_000
 
 _CHUNKS = pa.schema(
     [("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.bool_())), ("ids", pa.binary())]
@@ -51,17 +53,29 @@ _CHUNKS_DDL = "chunk string, doc_ids array<long>, sizes array<long>, targets arr
 _SCORES_DDL = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
-def cells_of(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ids_below(vocabulary: str) -> int:
+    """Number above all ids of a vocabulary file and the document end."""
+    held = encoder(vocabulary).tokenizer.get_vocab(with_added_tokens=True)
+    return max([END, *held.values()]) + 1
+
+
+def _id_type(n_ids: int) -> str:
+    """Integer type in which chunks hold ids."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+def cells_of(ids: np.ndarray, sizes: np.ndarray, n_ids: int = IDS) -> np.ndarray:
     """Cell of each token with the one before it; a document starts after its end."""
     before = np.empty(len(ids), np.int64)
     before[1:] = ids[:-1]
     before[np.cumsum(sizes) - sizes] = END
-    return before * IDS + ids
+    return before * n_ids + ids
 
 
 def chunked(docs: DataFrame, vocabulary: str, chunk: int = CHUNK) -> DataFrame:
     """Token ids of all texts, a chunk in each row. ``docs`` has ``doc_id``, ``text`` as
     bytes and ``is_target``; the chunks' names hold once the result is stored."""
+    width = _id_type(ids_below(vocabulary))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -69,7 +83,7 @@ def chunked(docs: DataFrame, vocabulary: str, chunk: int = CHUNK) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             docs, targets, ids = zip(*held, strict=True)
-            columns = [[uuid.uuid4().hex], [docs], [[len(i) for i in ids]], [targets], [np.concatenate(ids).astype("<u2").tobytes()]]
+            columns = [[uuid.uuid4().hex], [docs], [[len(i) for i in ids]], [targets], [np.concatenate(ids).astype(width).tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNKS)], schema=_CHUNKS)
 
         for doc_id, text, is_target in rows_of(stream):
@@ -85,14 +99,14 @@ def chunked(docs: DataFrame, vocabulary: str, chunk: int = CHUNK) -> DataFrame:
     return docs.select("doc_id", "text", "is_target").mapInArrow(run, _CHUNKS_DDL)
 
 
-def pairs_of(chunks: DataFrame) -> DataFrame:
+def pairs_of(chunks: DataFrame, n_ids: int = IDS) -> DataFrame:
     """``chunk, cell, target, background``: each stored chunk's distinct bigrams, counted."""
     schema = pa.schema([("chunk", pa.string()), ("cell", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, sizes, targets, ids in rows_of(stream, 1):
             sizes = np.array(sizes, np.int64)
-            cells, which = np.unique(cells_of(np.frombuffer(ids, "<u2").astype(np.int64), sizes), return_inverse=True)
+            cells, which = np.unique(cells_of(np.frombuffer(ids, _id_type(n_ids)).astype(np.int64), sizes, n_ids), return_inverse=True)
             background = np.bincount(which)
             target = np.bincount(which[np.repeat(np.array(targets, bool), sizes)], minlength=len(cells))
             for at in range(0, len(cells), 65536):
@@ -106,16 +120,17 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def _singles(pairs: DataFrame) -> DataFrame:
+def _singles(pairs: DataFrame, n_ids: int) -> DataFrame:
     """Counts of single tokens, each of which ends one bigram."""
-    return _summed(pairs.withColumn("cell", F.lit(CELLS) + F.col("cell") % IDS))
+    return _summed(pairs.withColumn("cell", F.lit(n_ids * n_ids) + F.col("cell") % n_ids))
 
 
 def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``cell, target, background``: cells below ``CELLS`` count bigrams, those from
-    there on single tokens. ``docs`` has ``doc_id``, ``text`` as bytes and ``is_target``."""
-    pairs = stored(_summed(pairs_of(stored(chunked(docs, vocabulary), "chunks"))), "bigrams")
-    return pairs.union(_singles(pairs))
+    """``cell, target, background``: cells below the vocabulary's square count bigrams, those
+    from there on single tokens. ``docs`` has ``doc_id``, ``text`` as bytes and ``is_target``."""
+    n_ids = ids_below(vocabulary)
+    pairs = stored(_summed(pairs_of(stored(chunked(docs, vocabulary), "chunks"), n_ids)), "bigrams")
+    return pairs.union(_singles(pairs, n_ids))
 
 
 @dataclass
@@ -127,7 +142,7 @@ class Formula:
     scale: float
 
     def __call__(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        before, ids = cells // IDS, cells % IDS
+        before, ids = np.divmod(cells, len(self.singles))
         return -np.log((counts * self.scale + PRIOR * self.alone[ids]) / (self.singles[before] + PRIOR))
 
 
@@ -145,7 +160,7 @@ class Bigrams:
 
     def losses(self, ids: np.ndarray) -> np.ndarray:
         """Losses of one text's tokens, looked up from the driver."""
-        cells = cells_of(ids.astype(np.int64), np.array([len(ids)]))
+        cells = cells_of(ids.astype(np.int64), np.array([len(ids)]), len(self.singles))
         wanted = self.pairs.sparkSession.createDataFrame([(c,) for c in set(cells.tolist())], "cell long")
         held = {r["cell"]: r[self.column] for r in self.pairs.join(wanted, "cell").collect()}
         return self.formula()(cells, np.array([held.get(c, 0) for c in cells.tolist()]))
@@ -159,11 +174,11 @@ def flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return given.join(named.hint("shuffle_hash"), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
-def fitted(pairs: DataFrame) -> tuple[Bigrams, Bigrams]:
+def fitted(pairs: DataFrame, n_ids: int = IDS) -> tuple[Bigrams, Bigrams]:
     """Target and background model of one form, vocabulary and size, from stored counts."""
-    rows = _singles(pairs).toArrow()
-    held = np.zeros((2, IDS), np.int64)
-    where = rows["cell"].to_numpy() - CELLS
+    rows = _singles(pairs, n_ids).toArrow()
+    held = np.zeros((2, n_ids), np.int64)
+    where = rows["cell"].to_numpy() - n_ids * n_ids
     held[0, where], held[1, where] = rows["target"].to_numpy(), rows["background"].to_numpy()
     target, background = held.sum(axis=1).tolist()
     scale = target / background if background else 0.0
@@ -173,29 +188,33 @@ def fitted(pairs: DataFrame) -> tuple[Bigrams, Bigrams]:
 def models(docs: DataFrame, targets: DataFrame, vocabulary: str) -> tuple[Bigrams, Bigrams]:
     """Both models, from ``docs`` and the ids of its targets."""
     chunks = stored(chunked(flagged(docs, targets), vocabulary), "chunks")
-    return fitted(stored(_summed(pairs_of(chunks)), "bigrams"))
+    n_ids = ids_below(vocabulary)
+    return fitted(stored(_summed(pairs_of(chunks, n_ids)), "bigrams"), n_ids)
 
 
 def scored_chunks(chunks: DataFrame, pairs: DataFrame, target: Bigrams, background: Bigrams) -> DataFrame:
     """Scores of the texts of stored ``chunks``, whose ``pairs`` are from :func:`pairs_of`."""
     sent = chunks.sparkSession.sparkContext.broadcast((target.formula(), background.formula()))
-    counts = pairs.select("chunk", "cell").join(target.pairs, "cell", "left")
+    n_ids = len(target.singles)
+    tasks = max(1, min(chunks.count(), MOST_TASKS))
+    counts = pairs.select("chunk", "cell").join(target.pairs, "cell", "left").repartition(tasks, "chunk")
+    texts = chunks.select("chunk", "doc_ids", "sizes", "ids").repartition(tasks, "chunk")
 
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def run(given: pa.Table, found: pa.Table) -> pa.Table:
         ours, theirs = sent.value
         held = [found[c].to_numpy() for c in ("cell", "target", "background")]
         order = np.argsort(held[0])
         known, a, b = (np.nan_to_num(c[order]) for c in held)
         out = []
-        for row in texts.to_pylist():
+        for row in given.to_pylist():
             sizes = np.array(row["sizes"], np.int64)
-            cells = cells_of(np.frombuffer(row["ids"], "<u2").astype(np.int64), sizes)
+            cells = cells_of(np.frombuffer(row["ids"], _id_type(n_ids)).astype(np.int64), sizes, n_ids)
             at, starts = np.searchsorted(known, cells), np.cumsum(sizes) - sizes
             one, other = (np.add.reduceat(f(cells, n[at]), starts) / sizes for f, n in ((ours, a), (theirs, b)))
             out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": sizes, "target_loss": one, "background_loss": other, "difference": one - other}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in _SCORES})
 
-    return chunks.select("chunk", "doc_ids", "sizes", "ids").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, _SCORES_DDL)
+    return texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, _SCORES_DDL)
 
 
 _SCORES = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("difference", pa.float64())]
@@ -205,12 +224,14 @@ def scored(docs: DataFrame, target: Bigrams, background: Bigrams, vocabulary: st
     """``doc_id, n_tokens, target_loss, background_loss, difference`` of every text."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     chunks = stored(chunked(given.withColumn("is_target", F.lit(False)), vocabulary), "chunks")
-    return scored_chunks(chunks, pairs_of(chunks), target, background)
+    return scored_chunks(chunks, pairs_of(chunks, ids_below(vocabulary)), target, background)
 
 
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     good = table(spark, folder, "labels").filter("quality = 1")
-    chunks = stored(chunked(flagged(docs, good), vocabulary_path()), "chunks")
-    pairs = stored(pairs_of(chunks), "pairs")
-    return scored_chunks(chunks, pairs, *fitted(stored(_summed(pairs), "bigrams")))
+    vocabulary = vocabulary_path()
+    n_ids = ids_below(vocabulary)
+    chunks = stored(chunked(flagged(docs, good), vocabulary), "chunks")
+    pairs = stored(pairs_of(chunks, n_ids), "pairs")
+    return scored_chunks(chunks, pairs, *fitted(stored(_summed(pairs), "bigrams"), n_ids))

@@ -5,11 +5,16 @@ and words repeat, so a worker keeps the words it has seen. A text of plain Latin
 letters is cut at the pre-tokenizer's own pattern, and each new piece goes to the
 library's BPE model. In any other text the white-space-separated chunks go to the
 library as they are, since the pre-tokenizer lets no token cross white space.
+
+Both ways follow the rules of one vocabulary file (``RULES``). A file with any other
+normalizer, pre-tokenizer or model settings has its texts encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -18,8 +23,38 @@ import numpy as np
 #: Name of the vocabulary in the public tokenizers' folder and its document end.
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Words that a worker remembers before it starts afresh.
+#: Words, and bytes they take, that a worker remembers before it starts afresh.
 MOST_WORDS = 600_000
+MOST_BYTES = 1 << 28
+#: The settings of a vocabulary file under which words may be encoded alone.
+RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {
+        "type": "BPE",
+        "dropout": None,
+        "unk_token": None,
+        "continuing_subword_prefix": None,
+        "end_of_word_suffix": "</w>",
+        "fuse_unk": False,
+        "byte_fallback": False,
+        "ignore_merges": False,
+    },
+}
 #: Letters whose composed form and lower case are one character, texts of
 #: which the lower case has no other letters, and the pre-tokenizer's pattern for these.
 _LETTERS = "a-zß-öø-ɏ"
@@ -42,6 +77,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def words_alone(path: str) -> bool:
+    """Whether a vocabulary file has the settings in ``RULES``."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    model = {k: v for k, v in given["model"].items() if k not in ("vocab", "merges")}
+    # added tokens are found in the raw text; only those that start "<|" keep to one chunk
+    added = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in given["added_tokens"])
+    plain = not any(t[k] for t in given["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return added and plain and RULES == {"normalizer": given["normalizer"], "pre_tokenizer": given["pre_tokenizer"], "model": model}
+
+
 class Encoder:
     """Ids, and with ``spans`` the characters they cover, of texts given as UTF-8 bytes."""
 
@@ -52,12 +98,14 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.with_spans = spans
+        self.by_words = words_alone(path)
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
         self.flat, self.first, self.last = array("I"), array("I"), array("I")
         self.at, self.sizes = array("Q"), array("I")
+        self.held = 0
 
     def _add(self, word: str) -> None:
         """Remember a piece, or a chunk marked by a space before it."""
@@ -81,12 +129,13 @@ class Encoder:
                     spans.append((char[at], char[end - 1] + 1))
                     at = end
         self.sizes.append(len(self.flat) - before)
+        self.held += sys.getsizeof(word) + 100 + 12 * self.sizes[-1]
         if self.with_spans:
             self.first.extend([a for a, _ in spans])
             self.last.extend([b for _, b in spans])
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS or self.held > MOST_BYTES:
             self.forget()
         for word in set(words).difference(self.words):
             self._add(word)
@@ -106,7 +155,12 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         return np.repeat(starts - (ends - sizes), sizes) + np.arange(total), sizes
 
+    def _whole(self, text: bytes):
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False)
+
     def ids(self, text: bytes) -> np.ndarray:
+        if not self.by_words:
+            return np.array(self._whole(text).ids, np.uint32)
         words = self._split(text)
         if not words:
             return np.empty(0, np.uint32)
@@ -114,6 +168,8 @@ class Encoder:
         return np.frombuffer(self.flat, np.uint32)[where]
 
     def count(self, text: bytes) -> int:
+        if not self.by_words:
+            return len(self._whole(text).ids)
         words = self._split(text)
         if not words:
             return 0
@@ -122,6 +178,10 @@ class Encoder:
 
     def spans(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with the character spans they cover in the text."""
+        if not self.by_words:
+            done = self._whole(text)
+            ends = np.array(done.offsets, np.int64).reshape(-1, 2)
+            return np.array(done.ids, np.uint32), ends[:, 0], ends[:, 1]
         words = self._split(text)
         if not words:
             return np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)

@@ -43,3 +43,23 @@ def test_scores_rest_on_exact_bigram_counts(spark):
         assert got[k].n_tokens == len(row)
         assert got[k].target_loss == pytest.approx(loss(row, True, 1.0))
         assert got[k].background_loss == pytest.approx(loss(row, False, scale))
+
+
+@pytest.mark.parametrize("widths", ["own", "wide"])
+def test_sized_by_the_vocabulary(spark, monkeypatch, widths):
+    """Another file's ids, and ids beyond two bytes."""
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    assert lm.ids_below(path) == 50_257 and lm.ids_below(VOCABULARY) == lm.IDS
+    n = 50_257 if widths == "own" else 70_000
+    shift = n - 50_257
+    own = tokens.document_ids
+    monkeypatch.setattr(lm, "ids_below", lambda vocabulary: n)
+    monkeypatch.setattr(lm, "document_ids", lambda vocabulary, text: own(vocabulary, text) + shift)
+    docs = [(1, "One text, and another.  Spaces"), (2, "one text"), (3, None)]
+    chunks = lm.stored(lm.chunked(lm.flagged(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")), path), "c")
+    counts = {r.cell: r.background for r in lm.stored(lm._summed(lm.pairs_of(chunks, n)), "p").collect()}
+    want = Counter()
+    for _, text in docs:
+        row = (own(path, (text or "").encode()) + shift).tolist()
+        want.update(a * n + b for a, b in zip([tokens.END, *row], row))
+    assert counts == dict(want)

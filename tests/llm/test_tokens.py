@@ -33,6 +33,30 @@ def test_ids_and_spans_equal_the_library_on_whole_texts(library, monkeypatch):
         assert ours.ids(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_cache_is_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_BYTES", 5000)
+    ours = tokens.Encoder(VOCABULARY)
+    for k in range(30):
+        text = "日本" * 400 + str(k)
+        assert ours.ids(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(ours.words) <= 3
+
+
+def test_other_vocabularies_are_left_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    ours = tokens.Encoder(path, spans=True)
+    assert not ours.by_words and tokens.Encoder(VOCABULARY).by_words
+    for text in [*TEXTS, "Two  spaces\n\nand lines", " lead"]:
+        want = other.encode(text, add_special_tokens=False)
+        ids, first, last = ours.spans(text.encode())
+        assert ids.tolist() == want.ids == ours.ids(text.encode()).tolist()
+        assert list(zip(first.tolist(), last.tolist())) == want.offsets
+        assert ours.count(text.encode()) == len(want.ids)
+
+
 def test_attribution_rules():
     first, last = np.array([0, 3, 8, 12, 20]), np.array([3, 8, 12, 20, 21])
     begins, ends = np.array([0, 5, 10]), np.array([5, 10, 18])
