@@ -183,6 +183,34 @@ def test_top_k(spark, tmp_path, block, queries):
     assert sorted(tuple(r) for r in got.collect()) == plain_top_k(rows, 10, 5)
 
 
+@pytest.mark.parametrize("read,held", [(1, 1 << 20), (32, 8)])
+def test_top_k_with_many_copies(spark, tmp_path, monkeypatch, read, held):
+    """A third of the rows are one vector; rounds of one query block; early hand-over."""
+    monkeypatch.setattr(topk, "ROUND", 1)
+    monkeypatch.setattr(topk, "HELD", held)
+    random.seed(9)
+    rows = [(k, [random.gauss(0, 1) for _ in range(5)]) for k in range(200)]
+    rows += [(k, [2.0] * 5) for k in range(300, 400)] + [(k, rows[k % 3][1]) for k in range(400, 430)]
+    random.shuffle(rows)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    got = topk.top_k(vectors, F.col("id") % 10 == 0, 4, block=16, queries=9, read=read)
+    assert sorted(tuple(r) for r in got.collect()) == plain_top_k(rows, 10, 4)
+
+
+def test_top_k_moves_no_vectors_but_candidates(spark, tmp_path):
+    """What the scan of the cells leaves grows with the queries, not with pairs of blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=16).tolist()) for k in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).write.parquet(str(tmp_path / "v"))
+    given = spark.read.parquet(str(tmp_path / "v")).select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("vector"))
+    cells = topk.approximation_file(given, 64)
+    assert cells.agg(F.sum(F.length("cells"))).first()[0] == 3000 * 16
+    left = topk._left(cells.coalesce(4), topk._asked(given.filter("row % 100 = 0"), 512), 10)
+    assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() < 30 * 4 * 60
+
+
 def test_top_k_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "v"))
     assert topk.top_k(spark.read.parquet(str(tmp_path / "v")), F.col("id") % 10 == 0).count() == 0
@@ -191,10 +219,12 @@ def test_top_k_of_nothing(spark, tmp_path):
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     data = rng.integers(-2000, 2000, (500, 16))
-    near = topk.Approximation(data)
-    for query in rng.integers(-2000, 2000, (20, 16)):
-        low, high = near.bounds(query.astype(float))
-        assert (low <= data @ query).all() and (data @ query <= high).all()
+    near = topk.Approximation.of(data.astype(float))
+    assert near.cell.dtype == np.uint8
+    queries = rng.integers(-2000, 2000, (20, 16))
+    low, high = near.bounds(queries.astype(float))
+    assert (low <= queries @ data.T).all() and (queries @ data.T <= high).all()
+    assert np.median(high - low) < 1e-2 * np.abs(data).max() ** 2 * 16
 
 
 def test_language_model_scores(spark, edge, empty):
