@@ -21,13 +21,15 @@ suffix with a count, known by a 128-bit BLAKE2 digest. An anchor with more than
 ``MANY`` different surroundings, such as a passage that a third of the documents share,
 is not sorted in one task: its offsets are cut into 7 ranges, each occurrence is keyed
 by the text that all strings of a range share, and three such rounds come down to the
-strings themselves, counted by digest (128 bits) like any large aggregate. Only what
-occurs twice and is not settled goes on to the next round; a range is settled when all
-that share its text agree, by 64 more bits, on everything its strings cover.
+strings themselves, counted by digest (128 bits) like any large aggregate. A range is
+settled for those that agree, by 64 more bits, with another one on everything its strings
+cover. Only the smallest and the largest shared offset matter, so ranges between settled
+ones are dropped, and only what occurs twice beyond them goes on to the next round, with
+one of each kind of its partners.
 
 Null text counts as empty; texts shorter than ``SPAN`` lose nothing. Repeated rows are
 documents of their own and so remove each other's long texts. An empty table gives an
-empty result; other columns are ignored. Rows are numbered once, in a written table.
+empty result; other columns are ignored. Row numbers hold for every scan.
 """
 
 from __future__ import annotations
@@ -35,14 +37,16 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import ROW, batches, map_rows, numbered, rows_of, stored, table
+from cohortpulse.llm.common import ROW, batches, map_rows, numbered, rows_of, stored, table, with_rows
+from cohortpulse.sources.sinks import temporary_table
 
 SPAN = 400
 GRAM = 64
@@ -336,21 +340,22 @@ def _strings(first: int, last: int, cuts: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in itertools.pairwise(edges)]
 
 
-def _round(texts: DataFrame, open_: DataFrame | None, span: int, reach: int, cuts: int) -> DataFrame:
+def _round(texts: DataFrame, settled: DataFrame | None, open_: DataFrame | None, hold: Callable, span: int, reach: int, cuts: int) -> tuple[DataFrame, DataFrame]:
     """Counts of what occurrences share, range by range of their open offsets.
 
-    ``open_`` lists ranges (class, first, last) left by the round before; at first every
-    occurrence has the whole range. Gives the stored ranges that occurrences share, that
-    is, whose strings have the same text in common: ``class, first, last``, the offsets
-    ``low`` to ``high`` among them whose strings lie within the document, and ``alike``,
-    whether the occurrences agree on all bytes of these strings.
+    ``settled`` has the smallest and largest offset known to be shared, per class
+    (``bottom, top``), and ``open_`` the ranges that the round before left; at first every
+    occurrence has the whole range. Of a range, the offsets ``low`` to ``high`` have
+    strings within the document. The range is settled for the occurrences that have a
+    partner with the same bytes in all of these. Where only the text common to its strings
+    has another occurrence, it stays open if it reaches beyond the class's settled offsets;
+    of each kind of other occurrences of that text one goes on with it. Gives both, held.
     """
     ranges = F.array(F.struct(F.lit(0).alias("first"), F.lit(reach).alias("last")))
     if open_ is None:
         given = texts.withColumn("ranges", ranges)
     else:
-        lists = open_.groupBy(*_CLASS).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-        given = texts.join(lists, _CLASS)
+        given = texts.join(open_, _CLASS)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for *key, left, around, wanted in rows:
@@ -367,64 +372,86 @@ def _round(texts: DataFrame, open_: DataFrame | None, span: int, reach: int, cut
     kinds = ["long"] * 3 + ["int"] * 4 + ["long"] * 3
     schema = pa.schema([(n, pa.int64() if k == "long" else pa.int32()) for n, k in zip(names, kinds)])
     ddl = ", ".join(map(" ".join, zip(names, kinds)))
-    keyed = stored(map_rows(given.select(*_CLASS, "left", "around", "ranges"), run, schema, ddl), "ranges")
     core = ["gram", "first", "last", "core1", "core2"]
-    tally = keyed.groupBy(*core).agg(F.count("*").alias("shared"), (F.min("hull") == F.max("hull")).alias("alike"))
-    # written, so that the join below sorts both sides anew and can split a hot key
-    tally = stored(tally.filter("shared > 1"), "tally")
-    return stored(keyed.join(tally, core).select(*_CLASS, "first", "last", "low", "high", "alike"), "shared")
-
-
-def _counted_covers(texts: DataFrame, span: int, reach: int, cuts: int = CUTS) -> DataFrame:
+    # tables, so that the joins sort both sides anew and can split a hot key
+    with temporary_table(map_rows(given.select(*_CLASS, "left", "around", "ranges"), run, schema, ddl), "ranges") as keyed:
+        one = F.min(F.struct(*_CLASS, "low", "high")).alias("one")
+        kinds = keyed.groupBy(*core, "hull").agg(one, F.count("*").alias("n")).select(*core, "hull", "n", "one.around1", "one.around2", "one.low", "one.high")
+        with temporary_table(kinds, "kinds") as kinds:
+            sure = keyed.join(kinds.filter("n > 1").select(*core, "hull"), [*core, "hull"], "left_semi")
+            sure = _extremes(sure.select(*_CLASS, F.col("high").alias("top"), F.col("low").alias("bottom")))
+            settled = hold(sure if settled is None else _extremes(settled.unionByName(sure)), "settled")
+            wide = kinds.filter("first < last")
+            alone = wide.filter("n = 1").join(settled, _CLASS, "left").filter("top is null or high > top or low < bottom")
+            several = wide.groupBy(*core).agg(F.count("*").alias("hulls")).filter("hulls > 1")
+            # one of each kind goes on as a partner of those that are not settled
+            with temporary_table(several.join(alone.select(*core), core, "left_semi").select(*core), "cores") as cores:
+                left = wide.join(cores, core, "left_semi").groupBy(*_CLASS).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+                return settled, hold(left, "open")
+
+
+def _extremes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_CLASS).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"))
+
+
+def _counted_covers(texts: DataFrame, hold: Callable, span: int, reach: int, cuts: int = CUTS) -> DataFrame:
     """Covers of anchors with many surroundings, by counting shared texts."""
-    settled, open_ = [], None
+    settled = open_ = None
     width = reach + 1
     while True:
-        found = _round(texts, open_, span, reach, cuts)
-        settled.append(found.filter("alike or first = last"))
-        if width <= 1:
+        settled, open_ = _round(texts, settled, open_, hold, span, reach, cuts)
+        if width <= 1 or not open_.limit(1).count():
             break
         width = -(-width // cuts)
-        open_ = found.filter("not alike and first < last")
-        if not open_.limit(1).count():
-            break
-    all_ = functools.reduce(DataFrame.union, settled)
-    return all_.groupBy(*_CLASS).agg(F.max("high").alias("before"), (F.lit(span) - F.min("low")).alias("after"))
+    return settled.select(*_CLASS, F.col("top").alias("before"), (F.lit(span) - F.col("bottom")).alias("after"))
 
 
 def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """Byte ranges ``row, begin, end`` of numbered texts that strings of ``span`` bytes
-    with another occurrence cover; ranges of a row may overlap."""
+    with another occurrence cover; ranges of a row may overlap. The tables of the steps
+    between are removed once the covers are written."""
     reach = span - gram
     given = docs.withColumnRenamed(ROW, "row")
-    found = _written(find_anchors(given, span, gram), "anchors")
-    alike = _written(
-        found.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"), F.first("left").alias("left"), F.first("right").alias("right")),
-        "alike",
-    )
-    grams = _written(alike.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "grams")
-    several = grams.select("gram", (F.col("kinds") > many).alias("hot"))
-    wanted = _written(alike.join(several, "gram").select("one.row", "one.at", *_CLASS, "left", "right", "hot"), "wanted")
-    texts = _written(_texts(given, wanted), "surroundings")
-    by_gram = texts.filter("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "around1", "around2")
-    parts = [_written(by_gram.mapInArrow(_sorted_covers(span, reach), _COVER_DDL), "sorted")]
-    if wanted.filter("hot").limit(1).count():
-        parts.append(_counted_covers(texts.filter("hot").drop("hot"), span, reach))
-    parts.append(alike.filter("n > 1").select(*_CLASS, F.col("left").alias("before"), F.col("right").alias("after")))
-    cover = functools.reduce(DataFrame.union, parts).groupBy(*_CLASS).agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    cover = _written(cover, "cover")
+    found = stored(find_anchors(given, span, gram), "anchors")
+    with ExitStack() as steps:
+        steps.enter_context(_files_let_go(docs.sparkSession))
+
+        def hold(df: DataFrame, name: str) -> DataFrame:
+            return steps.enter_context(temporary_table(df, name))
+
+        alike = hold(
+            found.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"), F.first("left").alias("left"), F.first("right").alias("right")),
+            "alike",
+        )
+        grams = hold(alike.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "grams")
+        several = grams.select("gram", (F.col("kinds") > many).alias("hot"))
+        wanted = alike.join(several, "gram").select("one.row", "one.at", *_CLASS, "left", "right", "hot")
+        texts = hold(_texts(given, wanted), "surroundings")
+        by_gram = texts.filter("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "around1", "around2")
+        parts = [hold(by_gram.mapInArrow(_sorted_covers(span, reach), _COVER_DDL), "sorted")]
+        hot = texts.filter("hot").drop("hot")
+        if hot.limit(1).count():
+            parts.append(_counted_covers(hot, hold, span, reach))
+        parts.append(alike.filter("n > 1").select(*_CLASS, F.col("left").alias("before"), F.col("right").alias("after")))
+        cover = functools.reduce(DataFrame.union, parts).groupBy(*_CLASS).agg(F.max("before").alias("before"), F.max("after").alias("after"))
+        cover = stored(cover, "cover")
     return found.join(cover, _CLASS).select("row", (F.col("at") - F.col("before")).alias("begin"), (F.col("at") + F.col("after")).alias("end"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A stored table, after which Spark may delete the shuffle files it came from.
-
-    Spark's cleaner does so when the driver's garbage is collected, which by itself may
-    come long after; the files of all steps together would be several times the input.
-    """
-    out = stored(df, name)
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+@contextmanager
+def _files_let_go(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete a step's shuffle files when its table is written; the files of
+    all steps together would be several times the input."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def remaining(text: bytes, ranges: list) -> tuple[bytes, int, int]:
@@ -446,7 +473,7 @@ def remaining(text: bytes, ranges: list) -> tuple[bytes, int, int]:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``row, doc_id, remaining, n_removed, n_spans`` of every row; ``remaining`` is
     the bytes that stay, which need not be UTF-8 where a cut splits a character."""
-    given = stored(numbered(docs, id_col, text_col), "rows")
+    given = numbered(with_rows(docs), id_col, text_col)
     ranges = repeated(given, span, gram, many).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
