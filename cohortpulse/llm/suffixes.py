@@ -19,13 +19,13 @@ smallest and the largest such offset.
 *Scale.* Anchors that agree on all bytes around them, as in copied documents, are one
 suffix with a count, known by a 128-bit BLAKE2 digest. An anchor with more than
 ``MANY`` different surroundings, such as a passage that a third of the documents share,
-is not sorted in one task: its offsets are cut into 7 ranges, each occurrence is keyed
-by the text that all strings of a range share, and three such rounds come down to the
-strings themselves, counted by digest (128 bits) like any large aggregate. A range is
-settled for those that agree, by 64 more bits, with another one on everything its strings
-cover. Only the smallest and the largest shared offset matter, so ranges between settled
-ones are dropped, and only what occurs twice beyond them goes on to the next round, with
-one of each kind of its partners.
+is not sorted in one task: its offsets are cut into 7 ranges and each occurrence is keyed
+by the text that all strings of a range share, counted by digest (128 bits) like any large
+aggregate. A range is settled for those that agree, by 64 more bits, with another one on
+everything its strings cover. Only the smallest and the largest shared offset matter, so
+ranges between settled ones are dropped, and only what occurs twice beyond them goes on,
+with one of each kind of its partners: those that share a key are sorted as above, and
+only keys with more than ``MANY`` kinds are cut again, down to the strings themselves.
 
 Null text counts as empty; texts shorter than ``SPAN`` lose nothing. Repeated rows are
 documents of their own and so remove each other's long texts. An empty table gives an
@@ -311,17 +311,21 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sorted_covers(span: int, reach: int):
-    """Task over surroundings sorted by gram: covers of each, a few groups at a time."""
+    """Task over surroundings sorted by gram and what follows the first five columns:
+    covers of each, a few groups at a time."""
+
+    def group_of(row: tuple) -> tuple:
+        return row[0], *row[5:]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(held: list[tuple]) -> Iterator[tuple]:
-            starts = [0, *(k for k in range(1, len(held)) if held[k][0] != held[k - 1][0])]
+            starts = [0, *(k for k in range(1, len(held)) if group_of(held[k]) != group_of(held[k - 1]))]
             before, after = covers(Surroundings([h[4] for h in held], np.array([h[3] for h in held]), span, reach), np.array(starts))
             yield from ((*h[:3], b, a) for h, b, a in zip(held, before.tolist(), after.tolist()) if a)
 
         def rows() -> Iterator[tuple]:
             held: list[tuple] = []
-            for _, group in itertools.groupby(rows_of(stream), key=lambda r: r[0]):
+            for _, group in itertools.groupby(rows_of(stream), key=group_of):
                 held += group
                 if len(held) >= TOGETHER:
                     yield from solved(held)
@@ -340,7 +344,9 @@ def _strings(first: int, last: int, cuts: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in itertools.pairwise(edges)]
 
 
-def _round(texts: DataFrame, settled: DataFrame | None, open_: DataFrame | None, hold: Callable, span: int, reach: int, cuts: int) -> tuple[DataFrame, DataFrame]:
+def _round(
+    texts: DataFrame, settled: DataFrame | None, open_: DataFrame | None, hold: Callable, span: int, reach: int, cuts: int, many: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts of what occurrences share, range by range of their open offsets.
 
     ``settled`` has the smallest and largest offset known to be shared, per class
@@ -349,7 +355,9 @@ def _round(texts: DataFrame, settled: DataFrame | None, open_: DataFrame | None,
     strings within the document. The range is settled for the occurrences that have a
     partner with the same bytes in all of these. Where only the text common to its strings
     has another occurrence, it stays open if it reaches beyond the class's settled offsets;
-    of each kind of other occurrences of that text one goes on with it. Gives both, held.
+    of each kind of other occurrences of that text one goes on with it. Up to ``many`` kinds
+    of one text are sorted here. Gives what is settled, the covers found by sorting, and the
+    ranges left open, all held.
     """
     ranges = F.array(F.struct(F.lit(0).alias("first"), F.lit(reach).alias("last")))
     if open_ is None:
@@ -385,25 +393,33 @@ def _round(texts: DataFrame, settled: DataFrame | None, open_: DataFrame | None,
             alone = wide.filter("n = 1").join(settled, _CLASS, "left").filter("top is null or high > top or low < bottom")
             several = wide.groupBy(*core).agg(F.count("*").alias("hulls")).filter("hulls > 1")
             # one of each kind goes on as a partner of those that are not settled
-            with temporary_table(several.join(alone.select(*core), core, "left_semi").select(*core), "cores") as cores:
-                left = wide.join(cores, core, "left_semi").groupBy(*_CLASS).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-                return settled, hold(left, "open")
+            with temporary_table(several.join(alone.select(*core), core, "left_semi"), "cores") as cores:
+                few = wide.join(cores.filter(F.col("hulls") <= many).select(*core), core, "left_semi").select(*_CLASS, *core[1:])
+                together = texts.join(few, _CLASS).select(*_CLASS, "left", "around", *core[1:])
+                together = together.repartition(*core).sortWithinPartitions(*core, "around1", "around2")
+                by_sort = hold(together.mapInArrow(_sorted_covers(span, reach), _COVER_DDL), "sorted")
+                left = wide.join(cores.filter(F.col("hulls") > many).select(*core), core, "left_semi")
+                left = left.groupBy(*_CLASS).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+                return settled, by_sort, hold(left, "open")
 
 
 def _extremes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_CLASS).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"))
 
 
-def _counted_covers(texts: DataFrame, hold: Callable, span: int, reach: int, cuts: int = CUTS) -> DataFrame:
-    """Covers of anchors with many surroundings, by counting shared texts."""
+def _counted_covers(texts: DataFrame, hold: Callable, span: int, reach: int, many: int, cuts: int = CUTS) -> list[DataFrame]:
+    """Covers of anchors with many surroundings, by counting shared texts and by sorting
+    those that share one."""
     settled = open_ = None
+    parts = []
     width = reach + 1
     while True:
-        settled, open_ = _round(texts, settled, open_, hold, span, reach, cuts)
+        settled, by_sort, open_ = _round(texts, settled, open_, hold, span, reach, cuts, many)
+        parts.append(by_sort)
         if width <= 1 or not open_.limit(1).count():
             break
         width = -(-width // cuts)
-    return settled.select(*_CLASS, F.col("top").alias("before"), (F.lit(span) - F.col("bottom")).alias("after"))
+    return [settled.select(*_CLASS, F.col("top").alias("before"), (F.lit(span) - F.col("bottom")).alias("after")), *parts]
 
 
 def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
@@ -431,7 +447,7 @@ def repeated(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MA
         parts = [hold(by_gram.mapInArrow(_sorted_covers(span, reach), _COVER_DDL), "sorted")]
         hot = texts.filter("hot").drop("hot")
         if hot.limit(1).count():
-            parts.append(_counted_covers(hot, hold, span, reach))
+            parts += _counted_covers(hot, hold, span, reach, many)
         parts.append(alike.filter("n > 1").select(*_CLASS, F.col("left").alias("before"), F.col("right").alias("after")))
         cover = functools.reduce(DataFrame.union, parts).groupBy(*_CLASS).agg(F.max("before").alias("before"), F.max("after").alias("after"))
         cover = stored(cover, "cover")
