@@ -331,7 +331,7 @@ def clicks_by_type_sparse(t: StandIns) -> DataFrame:
 @query
 def clicks_by_type_maps(t: StandIns) -> DataFrame:
     """The same as one map per enrolment, written out, and two of its entries."""
-    maps = C.clicks_by_type_map(C.clicks_by_type_long(t.student_vle, _many_types(t)))
+    maps = C.clicks_by_type_map(C.clicks_by_type_long(t.dealt_student_vle, _many_types(t)))
     entries = F.expr("array_join(transform(map_entries(clicks_by_type), e -> concat(e.key, '=', e.value)), ' ')")
     return maps.select(
         *ENROLMENT_KEYS,

@@ -1,14 +1,17 @@
 import os
+import re
 from types import SimpleNamespace
 
 import pytest
-from results import rows
+from results import executed_plan, rows
 from pyspark.sql import functions as F
 
 from cohortpulse import schemas as S
+from cohortpulse.plans.queries import REGISTRY
 from cohortpulse.session import shared_folder
 from cohortpulse.sources import readers as R
 from cohortpulse.sources import sinks as W
+from cohortpulse.sources import stand_ins
 
 
 def test_schemas():
@@ -136,3 +139,19 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.createDataFrame([(1, "a.b")], "k int, `a.b` string")
     assert W.write_and_read(df, "x").columns == ["k", "a.b"]
+
+
+@pytest.mark.parametrize("query", ["clicks_by_type_maps"])
+def test_many_clicks_are_joined_in_bounded_tasks(spark, monkeypatch, query):
+    """More tasks than the session's partitions if the clicks ask for it, and the same rows."""
+    folder = "/root/testdata/sf0.001"
+    want = REGISTRY[query](spark, folder)
+    n = want.sparkSession.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(stand_ins, "MANY_CLICKS", n - 1)
+    monkeypatch.setattr(stand_ins, "CLICKS_A_TASK", n // 11)
+    got = REGISTRY[query](spark, folder)
+    plan = executed_plan(got)
+    for key in ("l_orderkey", "o_orderkey"):
+        assert re.search(rf"hashpartitioning\({key}#\d+L, 12\)", plan)
+    order = want.columns[:4]
+    assert rows(got, *order) == rows(want, *order)
