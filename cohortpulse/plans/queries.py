@@ -325,7 +325,7 @@ def _many_types(t: StandIns) -> DataFrame:
 @query
 def clicks_by_type_sparse(t: StandIns) -> DataFrame:
     """Totals of thousands of activity types, a row per enrolment and type touched."""
-    return C.clicks_by_type_long(t.student_vle, _many_types(t))
+    return C.clicks_by_type_long(t.dealt_student_vle, _many_types(t))
 
 
 @query

@@ -141,7 +141,7 @@ def test_shared_folder_follows_the_session(spark):
     assert W.write_and_read(df, "x").columns == ["k", "a.b"]
 
 
-@pytest.mark.parametrize("query", ["clicks_by_type_maps"])
+@pytest.mark.parametrize("query", ["clicks_by_type_maps", "clicks_by_type_sparse"])
 def test_many_clicks_are_joined_in_bounded_tasks(spark, monkeypatch, query):
     """More tasks than the session's partitions if the clicks ask for it, and the same rows."""
     folder = "/root/testdata/sf0.001"
