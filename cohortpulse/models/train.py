@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -103,7 +104,11 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
 def fit(
     train: DataFrame, features: Sequence[str], positive_weight: float, settings: Settings = Settings()
 ) -> GBTClassificationModel:
-    """Boosted trees with the positive class weighted up."""
+    """Boosted trees with the positive class weighted up.
+
+    The assembled rows are kept on the executors' disks during the fit, as the trees' bins take
+    several passes; memory is left to the binned rows.
+    """
     spark = train.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
@@ -121,7 +126,11 @@ def fit(
         maxIter=settings.rounds,
         seed=settings.seed,
     )
-    return booster.fit(assembler.transform(weighted).select("features", LABEL, "_weight"))
+    rows = assembler.transform(weighted).select("features", LABEL, "_weight").persist(StorageLevel.DISK_ONLY)
+    try:
+        return booster.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(fitted: Fitted, threshold: float | None = None) -> DataFrame:

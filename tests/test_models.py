@@ -202,3 +202,13 @@ def test_exact_share_in_training(spark, frame):
     settings = T.Settings(rounds=2, exact_share=True)
     model = T.fit_pooled(T.stage(frame), settings)
     assert model.test.count() == math.ceil(Fraction("0.2") * frame.count())
+
+
+def test_rows_are_assembled_once_a_model(spark, frame, monkeypatch):
+    """The trees' passes before the first round read kept rows, which go after the fit."""
+    seen, fit = [], T.GBTClassifier.fit
+    monkeypatch.setattr(T.GBTClassifier, "fit", lambda self, rows: (seen.append(rows), seen.append(rows.storageLevel), fit(self, rows))[-1])
+    T.fit_pooled(T.stage(frame), T.Settings(rounds=1))
+    given, level = seen
+    assert level.useDisk and not level.useMemory
+    assert not given.storageLevel.useDisk
