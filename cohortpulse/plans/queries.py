@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortpulse.models.evaluate import classification_report, confusion, predicted
 from cohortpulse.models.importance import top_gains
-from cohortpulse.models.nodes import route_differences
+from cohortpulse.models.nodes import route_differences, test_rows_kept
 from cohortpulse.models.split import exact_test_split, in_test
 from cohortpulse.models.train import (
     MAY_BE_MISSING,
@@ -614,5 +614,6 @@ def gbt_node_check(t: StandIns) -> DataFrame:
     """
     with temporary_folder(t.spark, "study") as path:
         models = fit_study(_modelling(t), settings=Settings(rounds=10), path=f"{path}/rows")
-        checks = [route_differences(m, path) for m in models if m.model is not None]
-        return t.spark.createDataFrame(reduce(DataFrame.union, checks).collect(), checks[0].schema)
+        with test_rows_kept([m for m in models if m.model is not None]) as kept:
+            checks = [route_differences(m, path) for m in kept]
+            return t.spark.createDataFrame(reduce(DataFrame.union, checks).collect(), checks[0].schema)

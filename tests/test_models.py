@@ -212,3 +212,12 @@ def test_rows_are_assembled_once_a_model(spark, frame, monkeypatch):
     given, level = seen
     assert level.useDisk and not level.useMemory
     assert not given.storageLevel.useDisk
+
+
+def test_routes_read_kept_test_rows(spark, frame):
+    model = T.fit_pooled(T.stage(frame), T.Settings(rounds=2))
+    want = N.route_differences(model).first()
+    with N.test_rows_kept([model]) as (kept,):
+        assert kept.test.storageLevel.useDisk and not kept.test.storageLevel.useMemory
+        assert N.route_differences(kept).first() == want
+    assert not model.test.storageLevel.useDisk
