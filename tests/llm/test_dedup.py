@@ -128,6 +128,15 @@ def test_repeated_passages_at_random(spark, tmp_path, many):
     assert sorted_rows(got.select("doc_id", "n_removed", "n_spans", F.sha2("remaining", 256))) == sorted(brute.repeats(docs, 60), key=key)
 
 
+def test_query_of_repeated_passages_has_the_input_sizes(spark, tmp_path):
+    docs = [(1, None), (2, "é" * 3), (3, "x" + "passage " * 60), (4, "passage " * 60 + "ü"), (4, "a" * 500), (None, "b" * 399)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = suffixes.op1_suffix_dedup(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    want = [(d, len((t or "").encode()), *r[1:]) for (d, t), r in zip(docs, brute.repeats(docs, suffixes.SPAN), strict=True)]
+    assert sorted_rows(got) == sorted(want, key=key)
+
+
 def test_suffix_order_survives_a_lying_hash(monkeypatch):
     random.seed(2)
     texts = [bytes(random.choices(b"ab", k=120)) for _ in range(40)]
